@@ -354,7 +354,8 @@ def ngram_jaccard_join(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), id
     """
     classes, pairs = class_pairs(docs, cfg, id_col, text_col)
     same = classes.where(F.size("docs") > 1).select(F.col("docs").alias("docs_a"), F.col("docs").alias("docs_b"), F.lit(1.0).alias("jaccard"))
-    return pairs.select("docs_a", "docs_b", "jaccard").unionByName(same)
+    ordered = pairs.select(F.least("docs_a", "docs_b").alias("docs_a"), F.greatest("docs_a", "docs_b").alias("docs_b"), "jaccard")
+    return ordered.unionByName(same)
 
 
 def near_duplicate_drops(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

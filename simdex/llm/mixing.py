@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .common import materialize, maybe_broadcast
+from .textcore import mix64
 
 
 @dataclass(frozen=True)
@@ -26,18 +27,18 @@ class MixConfig:
     """``weights`` by source, all sources alike where None; ``budget`` in tokens, else ``fraction`` of the corpus.
 
     ``reach`` bounds the remainder that the dynamic programme fits; a larger one
-    is first met with single documents, by largest rounding loss.
+    is first met with single documents, by largest rounding loss and a hash of the length.
     """
 
     weights: dict[str, float] | None = None
     budget: int | None = None
     fraction: float = 0.5
     tokenizer: str = tokens.BYTE_BPE
-    reach: int = 1 << 16
+    reach: int = 4096
     seed: int = 5
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, reach: int = 1 << 16) -> np.ndarray:
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, reach: int = 4096) -> np.ndarray:
     """How many documents of each length to take.
 
     The sum is at most ``budget``, and all documents where they fit. After the
@@ -52,7 +53,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, reach: int
     take = np.array([int(c) * budget // total for c in counts], np.int64)
     lost = counts * (budget / total) - take
     rest = budget - int((take * lengths).sum())
-    for i in np.lexsort((lengths, -lost)).tolist():
+    for i in np.lexsort((mix64(lengths.astype(np.uint64)), -lost)).tolist():
         if rest <= reach:
             break
         if take[i] < counts[i] and lengths[i] <= rest:
