@@ -137,7 +137,8 @@ def _example(rng: np.random.Generator, kind: str, positive: bool) -> tuple[str,
         cue = str(rng.choice(_AGAINST)) + str(rng.choice([": ", " ", " #"]))
     left = " ".join(word() for _ in range(rng.integers(0, 7)))
     left = f"{left} {cue}" if left else cue
-    tail = str(rng.choice(["", ".", ",", " ", "!!", "###", "%%%", "***"])) + " " + " ".join(word() for _ in range(rng.integers(0, 5)))
+    after = ["", " " + num(3), " " + num(4)][rng.integers(3)] if rng.random() < 0.25 else ""
+    tail = after + str(rng.choice(["", ".", ",", " ", "!!", "###", "%%%", "***"])) + " " + " ".join(word() for _ in range(rng.integers(0, 5)))
     return left + s + tail, len(left), len(left) + len(s)
 
 
