@@ -41,7 +41,7 @@ class CharClass:
 
 CLASSES = (
     CharClass("hex", _DIGIT + "abcdefABCDEF", 24, 2.6),
-    CharClass("base64", _DIGIT + _LOWER + _UPPER + "+/=", 20, 3.6),
+    CharClass("base64", _DIGIT + _LOWER + _UPPER + "+/", 20, 3.6),
     CharClass("token", _DIGIT + _LOWER + _UPPER + "_-", 20, 3.6),
 )
 
@@ -137,7 +137,10 @@ def scan_chunk(data: np.ndarray, offs: np.ndarray, cfg: SecretConfig) -> list[tu
             lead = data[max(int(offs[row]), int(s[k]) - cfg.context) : s[k]].tobytes().decode("utf-8", "ignore")
             if any(p.fullmatch(text) for p in allow) or any(p.search(lead) for p in before):
                 continue
-            found.append((row, int(s[k]), int(e[k]), cls.name, float(bits[k])))
+            end, last = int(e[k]), min(int(e[k]) + 2, int(offs[row + 1]))
+            while cls.name == "base64" and end < last and data[end] == 61:  # padding
+                end += 1
+            found.append((row, int(s[k]), end, cls.name, float(bits[k])))
     found.sort(key=lambda x: (x[1], -x[2]))
     out: list[tuple[int, int, int, str, float]] = []
     for f in found:

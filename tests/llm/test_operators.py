@@ -1,0 +1,318 @@
+"""Operators on small tables: results against brute force, and odd inputs."""
+
+import hashlib
+import io
+import itertools
+import json
+import re
+import struct
+
+import duckdb
+import pandas as pd
+import pytest
+import zstandard as zstd
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from simdex.llm import chat, decontaminate, imatch, jaccard, langid, mixing, pii, secrets, tokens, toxicity, warc
+from simdex.llm.components import connected_components
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+WORDS = "the of and ring stone river window cloud table green paper engine north sound light garden copper silver wheel morning".split()
+
+
+def words(text):
+    return re.findall(r"[0-9a-zà-öø-ÿ]+", text.lower())
+
+
+def prose(seed, n):
+    return " ".join(WORDS[int(hashlib.md5(f"{seed}-{i}".encode()).hexdigest(), 16) % len(WORDS)] + ("" if i % 3 else str(int(hashlib.md5(f"x{seed}-{i}".encode()).hexdigest(), 16) % 40)) for i in range(n))
+
+
+def make(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t) if t else 0) for i, t in rows], DOCS)
+
+
+#: Nulls, empties, no words, one word, a very long text, a repeated row, a null id.
+ODD = [(1, None), (2, ""), (3, "... !!! ---"), (4, "word"), (5, "long " * 200_000 + "end"), (6, "same row here now"), (6, "same row here now"), (None, "no id at all here"), (None, None)]
+
+
+def odd(spark):
+    """Odd rows with further columns whose names clash with internal ones."""
+    return make(spark, ODD).withColumns({c: F.lit(None).cast("string") for c in ("fp", "docs", "keep", "a", "b", "grp", "k", "count", "rep", "comp", "n", "term", "rn", "take", "batch")})
+
+
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def near_copies(base, k):
+    ws = base.split()
+    return [" ".join(w if i % (17 + j) else f"swap{j}" for i, w in enumerate(ws)) for j in range(k)]
+
+
+def jaccard_pairs(rows, n, t):
+    grams = {}
+    for i, text in rows:
+        w = words(text or "")
+        if i is not None and w:
+            grams[i] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))}
+    out = {}
+    for (i, x), (j, y) in itertools.combinations(sorted(grams.items()), 2):
+        s = len(x & y) / len(x | y)
+        if s >= t:
+            out[i, j] = s
+    return out
+
+
+def corpus():
+    rows = [(i, prose(i, 80)) for i in range(30)]
+    for k in range(4):
+        rows += [(100 + 20 * k + m, t) for m, t in enumerate([rows[k][1], rows[k][1].upper(), *near_copies(rows[k][1], 8)])]
+    return rows
+
+
+@pytest.mark.parametrize("tile", [4096, 3])
+def test_jaccard_join_against_brute_force(spark, tile):
+    rows = corpus()
+    want = jaccard_pairs(rows, 3, 0.5)
+    got = {}
+    for r in jaccard.ngram_jaccard_join(make(spark, rows), jaccard.JaccardConfig(tile=tile)).collect():
+        for i, j in itertools.product(r.docs_a, r.docs_b):
+            if i != j:
+                got[min(i, j), max(i, j)] = r.jaccard
+    assert all(abs(want[p] - s) < 1e-9 for p, s in got.items())
+    assert len(got) >= 0.9 * len(want) and len(want) > 100
+
+
+def test_jaccard_join_of_odd_rows(spark):
+    got = jaccard.ngram_jaccard_join(odd(spark)).collect()
+    assert got == []
+    assert jaccard.ngram_jaccard_join(none(spark)).collect() == []
+
+
+def test_components_against_union_find(spark):
+    edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (20, 21), (20, 21), (30, 30), (None, 3), (3, 50), (50, 41)]
+    got = {r.node: r.comp for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 50: 1, 41: 1, 5: 5, 6: 5, 7: 5, 8: 5, 9: 5, 20: 20, 21: 20}
+
+
+def test_leaks_against_brute_force(spark):
+    items = [(1, prose("b1", 20)), (2, prose("b2", 9)), (3, "of the"), (4, None), (None, prose("b5", 30)), (5, prose("b6", 6))]
+    rows = [(i, prose(i, 60)) for i in range(10)]
+    rows += [(20, prose(1, 30) + " " + items[0][1].upper() + ", " + prose(2, 10)), (21, items[1][1]), (22, "x " + " ".join(items[0][1].split()[3:15]) + " y"), (23, "A «" + items[5][1] + "»!"), (24, items[0][1] + " q " + items[0][1])]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    cfg = decontaminate.LeakConfig()
+    phrases = {}
+    for i, t in items:
+        w = words(t or "")
+        if i is not None and len(w) >= cfg.least:
+            for k in range(max(1, len(w) - cfg.n + 1)):
+                phrases.setdefault(tuple(w[k : k + cfg.n]), set()).add(i)
+    want = set()
+    for i, t in rows:
+        spans = [(m.start(), m.end()) for m in re.finditer(r"[0-9A-Za-z]+", t)]
+        w = words(t)
+        hits = [(k, k + len(p), its) for p, its in phrases.items() for k in range(len(w) - len(p) + 1) if tuple(w[k : k + len(p)]) == p]
+        cur = None
+        for s, e, its in sorted(hits, key=lambda h: h[:2]):
+            if cur and s <= cur[1]:
+                cur = (cur[0], max(cur[1], e), cur[2] | its)
+            else:
+                if cur:
+                    want.add((i, spans[cur[0]][0], spans[cur[1] - 1][1], cur[1] - cur[0], tuple(sorted(cur[2]))))
+                cur = (s, e, set(its))
+        if cur:
+            want.add((i, spans[cur[0]][0], spans[cur[1] - 1][1], cur[1] - cur[0], tuple(sorted(cur[2]))))
+    got = {(r.doc_id, r.begin_char, r.end_char, r.n_words, tuple(r["items"])) for r in decontaminate.find_leaks(make(spark, rows), bench).collect()}
+    assert got == want and {g[0] for g in got} == {20, 21, 22, 23, 24}
+    left = {r.doc_id: r.text for r in decontaminate.remove_leaks(make(spark, rows), bench).collect()}
+    assert 21 not in left and left[22] == "x  y" and left[5] == rows[5][1] and left[24] == " q "
+    assert decontaminate.find_leaks(odd(spark), bench).collect() == []
+    assert decontaminate.remove_leaks(odd(spark), bench).count() == len(ODD)
+    assert decontaminate.find_leaks(none(spark), bench).count() == decontaminate.find_leaks(make(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_language_id_keeps_and_rejects(spark):
+    de = "und der die nicht ein sich mit auch schön über".split()
+    fr = "le la des et une dans pour être où élan".split()
+    rows = [(i, " ".join(v[(i * 7 + k * k) % 10] for k in range(30)), lab, "s", 0) for i in range(40) for lab, v in [(("de", de), ("fr", fr))[i % 2]]]
+    df = spark.createDataFrame([*rows, (90, "...", "de", "s", 3), (91, None, "fr", "s", 0), (92, "und der Tag", None, "s", 0)], DOCS)
+    got = {r.doc_id: r for r in langid.identify_languages(df).collect()}
+    assert all(got[i].lang == ("de", "fr")[i % 2] and got[i].kept for i in range(40))
+    assert not got[90].kept and not got[91].kept and got[90].lang is None and got[92].lang == "de"
+    assert langid.drop_unidentified(df).count() == 41
+
+
+def test_language_id_of_odd_rows(spark):
+    got = langid.identify_languages(odd(spark)).collect()
+    assert len(got) == len(ODD) and sum(r.kept for r in got) == 5
+    assert langid.identify_languages(none(spark)).collect() == []
+    unlabelled = langid.identify_languages(odd(spark).withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert sum(r.kept for r in unlabelled) == 5 and all(r.lang is None for r in unlabelled)
+
+
+TOKEN = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+
+
+def test_secrets_are_found_and_marked(spark):
+    rows = [(1, f'é token = "{TOKEN}" and'), (2, f"commit {TOKEN}"), (3, "550e8400-e29b-41d4-a716-446655440000"), (4, "1234567890" * 4), (5, "Donaudampfschifffahrtsgesellschaft"), (6, f"a={TOKEN} b=wJalrXUtnFEMIK7MDENGbPxRfiCYzzzKEYab1==")]
+    df = make(spark, rows)
+    got = {(r.doc_id, rows[r.doc_id - 1][1][r.begin_char : r.end_char]) for r in secrets.find_secrets(df).collect()}
+    assert got == {(1, TOKEN), (6, TOKEN), (6, "wJalrXUtnFEMIK7MDENGbPxRfiCYzzzKEYab1==")}
+    out = {r.doc_id: r for r in secrets.redact_secrets(df).collect()}
+    assert out[1].text == 'é token = "[SECRET]" and' and out[1].n_chars == len(out[1].text) and TOKEN not in out[6].text
+    assert out[2].text == rows[1][1] and len(out) == 6
+    assert secrets.find_secrets(odd(spark)).collect() == [] and secrets.redact_secrets(odd(spark)).count() == len(ODD)
+    assert secrets.find_secrets(none(spark)).count() == 0
+
+
+def test_mixing_meets_the_budget(spark):
+    enc = tokens.byte_bpe()
+    rows = [(i, prose(i, 5 + i % 23), "en", f"s{i % 3}", 0) for i in range(120)] + [(500, "x y", "en", None, 0), (501, None, "en", "s0", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix_sources(df, mixing.MixConfig(weights={"s0": 2, "s1": 1, "absent": 1}, budget=900)).collect()
+    size = {r[0]: len(enc.encode_ordinary(r[1])) for r in rows if r[1]}
+    assert all(size[r.doc_id] == r.n_tokens for r in got) and len({r.doc_id for r in got}) == len(got)
+    total = {s: sum(r.n_tokens for r in got if r.source == s) for s in ("s0", "s1")}
+    assert total == {"s0": 450, "s1": 225} and {r.source for r in got} == {"s0", "s1"}
+    assert mixing.mix_sources(none(spark)).count() == 0
+    assert {r.doc_id for r in mixing.mix_sources(odd(spark), mixing.MixConfig(fraction=1.0)).collect()} == {3, 4, 5, 6, None}
+
+
+def test_imatch_against_sql(spark):
+    rows = corpus()
+    pdf = pd.DataFrame(rows, columns=["doc_id", "text"])
+    cfg = imatch.IMatchConfig(least=0.03, most=0.6)
+    con = duckdb.connect()
+    con.register("documents", pdf)
+    want = {r[0]: r[1:] for r in con.execute(imatch.sql(cfg)).fetchall()}
+    prints = imatch.fingerprints(make(spark, rows), cfg)
+    got = {r[0]: tuple(r[1:]) for r in prints.collect()}
+    assert got == want
+    groups = [set(r.docs) for r in imatch.duplicate_groups(prints).collect()]
+    assert any({0, 100, 101} <= g for g in groups)
+
+
+def test_imatch_of_odd_rows(spark):
+    got = imatch.fingerprints(odd(spark)).collect()
+    assert len(got) == len(ODD) and all(r.sig0 is None for r in got if r.doc_id in (1, 2, 3))
+    assert imatch.fingerprints(none(spark)).count() == 0
+
+
+def test_chat_round_trip_and_masks(spark):
+    turns = [(1, 0, "user", "hi <|im_start|> <\\|x|>"), (1, 1, "assistant", "é <|endoftext|>"), (1, 2, None, None), (2, 0, "assistant", ""), (None, 0, "user", "x"), (3, None, "user", "b"), (3, None, "user", "b")]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").withColumn("turns", F.lit(1)).withColumn("roles", F.lit(2))
+    cfg, enc = chat.ChatConfig(), tokens.byte_bpe()
+    got = {r.conv_id: r for r in chat.format_conversations(df).collect()}
+    assert set(got) == {1, 2, 3} and got[3].n_turns == 2
+    assert chat.disassemble(got[1].input_ids, enc, cfg) == [("user", turns[0][3]), ("assistant", turns[1][3]), ("unknown", "")]
+    assert got[1].input_ids.count(cfg.start) == 3
+    body = [i for i, m in zip(got[1].input_ids, got[1].loss_mask) if m]
+    assert body[-1] == cfg.end and chat.unescape(enc.decode(body[:-1])) == turns[1][3]
+    assert sum(got[2].loss_mask) == got[2].n_trained == 1
+    assert chat.format_conversations(df.limit(0)).count() == 0
+    for text in ("<|", "<\\|", "<\\\\|a<|", "\\<|", "<<||>"):
+        assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
+
+
+def test_pii_rows(spark):
+    rows = [(1, "write to ana.12@mail3.example.com now"), (2, "version 1.2.3.4 of it"), (3, "no data here"), (4, "é call +1 (017) 555-7713!")]
+    got = {(r.doc_id, r.kind, rows[r.doc_id - 1][1][r.begin_char : r.end_char]) for r in pii.find_pii(make(spark, rows)).collect()}
+    assert got == {(1, "email", "ana.12@mail3.example.com"), (4, "phone", "+1 (017) 555-7713")}
+    assert pii.find_pii(odd(spark)).collect() == [] and pii.find_pii(none(spark)).count() == 0
+
+
+def test_toxic_rows(spark):
+    rows = [(1, "you are a complete idiot"), (2, "a calm text about crowns"), (3, "what a stupdi and st0pid thing"), (4, 'the sign said "no idiot here" once'), (5, "Idiots. " * 3)]
+    got = {r.doc_id: r for r in toxicity.find_toxic(make(spark, rows)).collect()}
+    assert set(got) == {1, 3, 5} and got[1].terms == ["idiot"] and got[5].n_hits == 3
+    assert toxicity.find_toxic(odd(spark)).collect() == [] and toxicity.find_toxic(none(spark)).count() == 0
+
+
+def test_archives_round_trip(spark):
+    pages = [(i, f"http://x/{i}", f"<p>é {prose(i, 50)}</p>") for i in range(300)] + [(None, None, None), (7, "http://x/\r\ny", ""), (7, "http://x/\r\ny", "")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("status", F.lit("x")).repartition(3)
+    got = sorted(((r.page_id, r.url, r.html, r.block_length, r.status) for r in warc.round_trip(spark, df).collect()), key=str)
+    want = sorted(((i, u and u.replace("\r\n", "%0D%0A"), h or "", len((h or "").encode()), "ok") for i, u, h in pages), key=str)
+    assert got == want
+    assert warc.round_trip(spark, df.limit(0)).count() == 0
+
+
+def test_archive_frames_and_faults(spark, tmp_path):
+    recs = [warc.encode_record(i, f"http://x/{i}", prose(i, 40).encode()) for i in range(100)]
+    data = warc.archive_bytes(recs)
+    assert struct.unpack("<I", data[:4])[0] == 0x184D2A5D and list(warc.frames(io.BytesIO(data))) == recs
+    raw, skip = warc.read_dictionary(data)
+    loose = struct.pack("<II", 0x184D2A5D, len(raw)) + raw + data[skip:]
+    assert list(warc.frames(io.BytesIO(loose))) == recs
+    z = zstd.ZstdCompressor()
+    broken = [b"no header", recs[0].replace(b"WARC/1.1", b"HTTP/1.1"), recs[0].replace(b"WARC-Date", b"X-Date"), recs[0].replace(b"Content-Length: ", b"Content-Length: 1"), recs[0].replace(b"Content-Length: ", b"Content-Length: -"), recs[1].replace(b"the", b"thx", 1) if b"the" in recs[1] else recs[1][:-6] + b"x\r\n\r\n"]
+    (tmp_path / "bad.warc.zst").write_bytes(b"".join(z.compress(b) for b in [recs[0], *broken, recs[2]]))
+    (tmp_path / "cut.warc.zst").write_bytes(data[: len(data) // 2])
+    (tmp_path / "junk.warc.zst").write_bytes(z.compress(recs[0]) + b"junk and more")
+    (tmp_path / "empty.warc.zst").write_bytes(b"")
+    paths = spark.createDataFrame([(str(p),) for p in sorted(tmp_path.iterdir())] + [(None,)], "path string")
+    rows = warc.read_archives(paths).collect()
+    by = {n: [r for r in rows if r.path.endswith(f"{n}.warc.zst")] for n in ("bad", "cut", "junk", "empty")}
+    assert [r.status == "ok" for r in by["bad"]] == [True] + [False] * 6 + [True] and by["empty"] == []
+    assert by["junk"][0].status == "ok" and "frame" in by["junk"][1].status
+    assert by["cut"][-1].status != "ok" and all(r.status == "ok" for r in by["cut"][:-1]) and len(by["cut"]) > 10
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    items = [(1, prose("bench", 20))]
+    rows = corpus() + [(900, prose("p", 30) + " " + items[0][1] + " tail"), (901, f'token = "{TOKEN}" ' + prose("q", 25)), (902, "!!!")]
+    table = [(i, t, "en", f"s{i % 2}", len(t)) for i, t in rows]
+    spark.createDataFrame(table, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "secret_scan", "source_mixing"]
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "source_mixing":
+            assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = {r.doc_id: r for r in docs.collect()}
+    texts = dict(rows)
+    assert set(kept["language_id"]) == set(texts) - {902}
+    parent = {i: i for i in kept["language_id"]}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in jaccard_pairs([(i, texts[i]) for i in parent], 3, 0.5):
+        a, b = find(i), find(j)
+        parent[max(a, b)] = min(a, b)
+    assert set(kept["near_duplicates"]) == {i for i in parent if find(i) == i}
+    assert kept["decontamination"].keys() == kept["near_duplicates"].keys()
+    assert items[0][1] not in kept["decontamination"][900].text and kept["decontamination"][900].text.endswith(" tail")
+    changed = {i for i, r in kept["decontamination"].items() if r.text != texts[i]}
+    assert changed == {900} and TOKEN not in kept["secret_scan"][901].text
+    enc = tokens.byte_bpe()
+    size = {i: len(enc.encode_ordinary(r.text)) for i, r in kept["secret_scan"].items()}
+    assert all(size[i] == r.n_tokens for i, r in kept["source_mixing"].items())
+    goal = sum(size.values()) // 2 // 2
+    for s in ("s0", "s1"):
+        have = sum(size[i] for i, r in kept["secret_scan"].items() if r.source == s)
+        got = sum(r.n_tokens for r in kept["source_mixing"].values() if r.source == s)
+        assert got <= goal and got >= min(have, goal) - 120
+    run = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert run == set(kept["source_mixing"])
+
+
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_pipeline_of_odd_rows(spark, tmp_path, rows):
+    df = odd(spark) if rows == "odd" else none(spark)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, prose("bench", 20))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        counts.append(docs.count())
+    assert counts[:4] == ([5, 4, 4, 4] if rows == "odd" else [0, 0, 0, 0]) and json.dumps(counts)
