@@ -411,7 +411,7 @@ def csidf_weights(spark, d):
     return csidf.weights(csidf.document_frequency(_enc(spark, d))).withColumn("weight", F.round("weight", 6))
 
 
-@query(f"{DOCREF}, both AS (SELECT * FROM enc UNION ALL SELECT * FROM ref), freq AS ({_DF.format(enc='both')}) SELECT channel::INTEGER AS channel, df::BIGINT AS df, n::BIGINT AS n FROM freq")
+@query(f"{DOCREF}, merged AS (SELECT * FROM enc UNION ALL SELECT * FROM ref), freq AS ({_DF.format(enc="merged")}) SELECT channel::INTEGER AS channel, df::BIGINT AS df, n::BIGINT AS n FROM freq")
 def csidf_merge(spark, d):
     return csidf.merge(csidf.document_frequency(_docs(spark, d)), csidf.document_frequency(_items(spark, d)))
 
