@@ -154,7 +154,7 @@ def read_archives(paths: DataFrame, path_col: str = "path") -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 where, name = _filesystem(path)
-                with where.open_input_stream(name) as stream:
+                with where.open_input_stream(name, compression=None) as stream:
                     rows, size = [], 0
                     for row in _records(path, stream):
                         rows.append(row)
@@ -219,7 +219,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             data = archive_bytes(pend)
             name = f"{hashlib.sha256(data).hexdigest()[:40]}.warc.zst"
             part = f"{base}/.{name}.{uuid.uuid4().hex}"
-            with where.open_output_stream(part) as f:
+            with where.open_output_stream(part, compression=None) as f:
                 f.write(data)
             where.move(part, f"{base}/{name}")
             return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(pend)], pa.int64())], names=["path", "records"])
