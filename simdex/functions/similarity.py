@@ -165,6 +165,11 @@ def centered_cosine(a: str, b: str, chains: Sequence[int] = (0, 1, 2, 3), masks:
     return f"(CASE WHEN ({na}) = 0 OR ({nb}) = 0 THEN 0.0e0 ELSE ({num}) / (sqrt(CAST({na} AS DOUBLE)) * sqrt(CAST({nb} AS DOUBLE))) END)"
 
 
+def linear_blend(a1: str, b1: str, a2: str, b2: str, alpha: float = 0.65, lens: str | tuple[float, ...] = "dedup") -> str:
+    """First- and second-stage lens cosines mixed by one weight; 0 takes the second alone."""
+    return f"({alpha!r}e0 * {lens_cosine(a1, b1, lens)} + {round(1 - alpha, 12)!r}e0 * {lens_cosine(a2, b2, lens)})"
+
+
 def chain_blend(a1: str, b1: str, a2: str, b2: str, alpha: Sequence[float]) -> str:
     """Mean over chains of first- and second-stage centered cosines, mixed by ``alpha``."""
     mix = [f"({x!r}e0 * {centered_cosine(a1, b1, (c,))} + {1 - x!r}e0 * {centered_cosine(a2, b2, (c,))})" for c, x in enumerate(alpha)]

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import canon as C
 from ..functions import codec
 from ..functions import similarity as S
-from ..functions.encode import PLANES, add_planes, encode_cte, trit_array
+from ..functions import generate
+from ..functions.encode import PLANES, add_planes, encode_cte, trit_array, with_norms
 from ..functions.lens import CHAINS, LENSES, STATIC_IDF
 from ..operators import csidf, dedup, evalmetrics, fields, joins, route, stage2
 from ..operators.storage import store
@@ -120,6 +121,11 @@ def positional_round_trip(spark, d):
     return codec.add_positional(_table(spark, d, "part").select("p_partkey", "p_name"), "p_name").select("p_partkey", "decoded", "was_cut")
 
 
+@query()
+def near_duplicate_fixture(spark, d):
+    return generate.near_duplicates(_turns(spark, d), "id", "text", 2)
+
+
 # canonical forms
 
 
@@ -587,10 +593,12 @@ def sparse_freeze(spark, d):
     return stage2.freeze_sparse(stage2.accumulate(_training(spark, d), "w"), 8)
 
 
-G2 = f"{BOTH}, g AS MATERIALIZED (SELECT id, {GATED} FROM enc)"
+_NORM_SQL = ", ".join(f"sqrt({S.norm2('', c)}::DOUBLE) AS s{c}" for c in range(4))
+G2 = f"{BOTH}, g AS MATERIALIZED (SELECT *, {_NORM_SQL} FROM (SELECT id, {GATED} FROM enc))"
 _FROM4 = f"{FROM_TWO} JOIN g x ON x.id = a.id JOIN g y ON y.id = b.id"
 _BUCKETS = (0.5, 0.4, 0.6, 0.3, 0.7, 0.5, 0.2, 0.8, 0.9, 1.0)
 _BLEND = {
+    "linear": S.linear_blend("a.", "b.", "x.", "y."),
     "s2_centered": S.centered_cosine("x.", "y."),
     "gated": S.centered_cosine("a.", "b.", masks=_GATE.gate_masks()),
     "chain_blend": S.chain_blend("a.", "b.", "x.", "y.", (0.6, 0.5, 0.7, 0.8)),
@@ -602,7 +610,7 @@ _BLEND = {
 def stage2_blends(spark, d):
     e = store(_enc(spark, d), "turns")
     planes = stage2.gate_planes(_GATE)
-    g = e.select("id", *(planes[p].alias(p) for p in sorted(planes)))
+    g = with_norms(e.select("id", *(planes[p].alias(p) for p in sorted(planes))))
     two = e.alias("a").join(e.alias("b"), F.expr("a.conv_id = b.conv_id AND b.turn = a.turn + 1"))
     four = two.join(g.alias("x"), F.expr("x.id = a.id")).join(g.alias("y"), F.expr("y.id = b.id"))
     return four.select(F.col("a.id").alias("id"), *(F.expr(f"round({x}, 6)").alias(n) for n, x in _BLEND.items()))
