@@ -10,9 +10,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of 8..24 bytes that may be sent to every executor; larger sides are shuffled.
 BROADCAST_ROWS = 2_000_000
+#: Bytes and rows of an Arrow batch between the JVM and Python.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 4000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,16 +54,30 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | None], schema: str) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch of ``df``."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """Apply ``fn`` to each Arrow batch of ``df``, in slices of at most :data:`BATCH_BYTES`.
+
+    The session's Arrow batches are bounded by bytes as well as rows, so that a
+    run of very long texts doesn't make a task outgrow its executor.
+    """
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
         for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
+            step = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes))
+            for s in range(0, batch.num_rows, step):
+                yield from fn(batch.slice(s, step))
+            pool.release_unused()
 
     return df.mapInArrow(run, schema)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        if int(str(spark.conf.get(key)).rstrip("bB")) > most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
+from .common import map_arrow
 from .fmindex import FMIndex
 
 
@@ -124,7 +125,7 @@ def _phrases(benchmark: DataFrame, cfg: LeakConfig, item_id: str, item_text: str
 
 
 #: Bytes of text in a shard; a longer text is a shard of its own.
-_SHARD = 16 << 20
+_SHARD = 4 << 20
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConfig(), id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -140,24 +141,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConf
     shared = docs.sparkSession.sparkContext.broadcast(_phrases(benchmark, cfg, item_id, item_text))
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, out = [], {"begin_char": [], "end_char": [], "n_words": [], "items": []}
-            for first, _, data, offs in tc.chunks(batch.column(1), _SHARD):
-                for row, b, e, n, items in shard_spans(shared.value, cfg, data, offs):
-                    base = int(offs[row])
-                    at.append(first + row)
-                    out["begin_char"].append(_chars(data[base:b]))
-                    out["end_char"].append(_chars(data[base:e]))
-                    out["n_words"].append(n)
-                    out["items"].append(items)
-            if at:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at)), *(pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))))],
-                    names=["doc_id", *out],
-                )
-
-    return src.mapInArrow(run, "doc_id bigint, begin_char bigint, end_char bigint, n_words int, items array<bigint>")
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        at, out = [], {"begin_char": [], "end_char": [], "n_words": [], "items": []}
+        for first, _, data, offs in tc.chunks(batch.column(1), _SHARD):
+            for row, b, e, n, items in shard_spans(shared.value, cfg, data, offs):
+                base = int(offs[row])
+                at.append(first + row)
+                out["begin_char"].append(_chars(data[base:b]))
+                out["end_char"].append(_chars(data[base:e]))
+                out["n_words"].append(n)
+                out["items"].append(items)
+        if at:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at)), *(pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))))],
+                names=["doc_id", *out],
+            )
+
+    return map_arrow(src, run, "doc_id bigint, begin_char bigint, end_char bigint, n_words int, items array<bigint>")
 
 
 def _chars(data: np.ndarray) -> int:
@@ -175,18 +175,17 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakCo
     at = docs.columns.index(text_col)
     chars = docs.columns.index(chars_col) if chars_col in docs.columns else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cuts: dict[int, list[tuple[int, int]]] = {}
-            texts: dict[int, str] = {}
-            for first, _, data, offs in tc.chunks(batch.column(at), _SHARD):
-                for row, b, e, _, _ in shard_spans(shared.value, cfg, data, offs):
-                    cuts.setdefault(first + row, []).append((b - int(offs[row]), e - int(offs[row])))
-                for row in (r for r in cuts if first <= r < first + len(offs) - 1):
-                    texts[row] = _without(data[offs[row - first] : offs[row - first + 1]].tobytes(), cuts[row])
-            yield replace_texts(batch, at, chars, texts)
-
-    return docs.mapInArrow(run, docs.schema)
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        cuts: dict[int, list[tuple[int, int]]] = {}
+        texts: dict[int, str] = {}
+        for first, _, data, offs in tc.chunks(batch.column(at), _SHARD):
+            for row, b, e, _, _ in shard_spans(shared.value, cfg, data, offs):
+                cuts.setdefault(first + row, []).append((b - int(offs[row]), e - int(offs[row])))
+            for row in (r for r in cuts if first <= r < first + len(offs) - 1):
+                texts[row] = _without(data[offs[row - first] : offs[row - first + 1]].tobytes(), cuts[row])
+        yield replace_texts(batch, at, chars, texts)
+
+    return map_arrow(docs, run, docs.schema)
 
 
 def _without(text: bytes, spans: list[tuple[int, int]]) -> str:

@@ -17,8 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
+from .common import map_arrow
 
-_CHUNK = 6 << 20
+_CHUNK = 4 << 20
+#: Distinct words whose features are worked out at a time.
+_SLICE = 20_000
 
 
 @dataclass(frozen=True)
@@ -90,8 +93,11 @@ def word_features(folded: np.ndarray, start: np.ndarray, end: np.ndarray, bits:
 
 
 def _emissions(model: CrfModel, bits: int, folded: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    ids, bounds = word_features(folded, start, end, bits)
-    out = np.add.reduceat(model.weights[ids], bounds[:-1], axis=0) if len(start) else np.zeros((0, len(model.labels)))
+    out = np.zeros((len(start), len(model.labels)), np.float32)
+    for s in range(0, len(start), _SLICE):
+        part = slice(s, s + _SLICE)
+        ids, bounds = word_features(folded, start[part], end[part], bits)
+        out[part] = np.add.reduceat(model.weights[ids], bounds[:-1], axis=0)
     if len(model.lexicon):
         at = np.minimum(np.searchsorted(model.lexicon, hashes), len(model.lexicon) - 1)
         hit = model.lexicon[at] == hashes
@@ -286,24 +292,23 @@ def identify_languages(docs: DataFrame, cfg: LangConfig = LangConfig(), id_col:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, cfg, id_col, text_col, lang_col))
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = judge(model.value, cfg, batch.column(1))
-            none = got["best"] < 0
-            names = pa.array([*(model.value.labels if model.value else []), None], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    names.take(pa.array(np.where(none, len(names) - 1, got["best"]))),
-                    pa.array(got["share"], mask=none),
-                    pa.array(got["count"]),
-                    pa.array(got["switches"]),
-                    pa.array(got["kept"]),
-                ],
-                names=["doc_id", "lang", "share", "n_words", "n_switches", "kept"],
-            )
-
-    return src.mapInArrow(run, "doc_id bigint, lang string, share double, n_words bigint, n_switches bigint, kept boolean")
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        got = judge(model.value, cfg, batch.column(1))
+        none = got["best"] < 0
+        names = pa.array([*(model.value.labels if model.value else []), None], pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                names.take(pa.array(np.where(none, len(names) - 1, got["best"]))),
+                pa.array(got["share"], mask=none),
+                pa.array(got["count"]),
+                pa.array(got["switches"]),
+                pa.array(got["kept"]),
+            ],
+            names=["doc_id", "lang", "share", "n_words", "n_switches", "kept"],
+        )
+
+    return map_arrow(src, run, "doc_id bigint, lang string, share double, n_words bigint, n_switches bigint, kept boolean")
 
 
 def drop_unidentified(docs: DataFrame, cfg: LangConfig = LangConfig(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -311,8 +316,7 @@ def drop_unidentified(docs: DataFrame, cfg: LangConfig = LangConfig(), id_col: s
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, cfg, id_col, text_col, lang_col))
     at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(judge(model.value, cfg, batch.column(at))["kept"]))
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield batch.filter(pa.array(judge(model.value, cfg, batch.column(at))["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import materialize, maybe_broadcast
+from .common import map_arrow, materialize, maybe_broadcast
 from .textcore import mix64
 
 
@@ -93,13 +93,12 @@ def count_tokens(docs: DataFrame, cfg: MixConfig, id_col: str = "doc_id", text_c
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
     path = cfg.tokenizer
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         enc = tokens.byte_bpe(path)
-        for batch in batches:
-            n = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "n_tokens"])
+        n = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "n_tokens"])
 
-    return src.mapInArrow(run, "doc_id bigint, source string, n_tokens bigint")
+    return map_arrow(src, run, "doc_id bigint, source string, n_tokens bigint")
 
 
 def mix_sources(docs: DataFrame, cfg: MixConfig = MixConfig(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

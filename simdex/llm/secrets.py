@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
+from .common import map_arrow
 from .decontaminate import _chars, replace_texts
 
 
@@ -163,22 +164,21 @@ def find_secrets(docs: DataFrame, cfg: SecretConfig = SecretConfig(), id_col: st
     """
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, cols = [], ([], [], [], [])
-            for first, _, data, offs in tc.chunks(batch.column(1)):
-                for row, b, e, kind, bits in scan_chunk(data, offs, cfg):
-                    base = int(offs[row])
-                    at.append(first + row)
-                    for c, v in zip(cols, (_chars(data[base:b]), _chars(data[base:e]), kind, round(bits, 6))):
-                        c.append(v)
-            if at:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.float64())))],
-                    names=["doc_id", "begin_char", "end_char", "kind", "entropy"],
-                )
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        at, cols = [], ([], [], [], [])
+        for first, _, data, offs in tc.chunks(batch.column(1)):
+            for row, b, e, kind, bits in scan_chunk(data, offs, cfg):
+                base = int(offs[row])
+                at.append(first + row)
+                for c, v in zip(cols, (_chars(data[base:b]), _chars(data[base:e]), kind, round(bits, 6))):
+                    c.append(v)
+        if at:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.float64())))],
+                names=["doc_id", "begin_char", "end_char", "kind", "entropy"],
+            )
 
-    return src.mapInArrow(run, "doc_id bigint, begin_char bigint, end_char bigint, kind string, entropy double")
+    return map_arrow(src, run, "doc_id bigint, begin_char bigint, end_char bigint, kind string, entropy double")
 
 
 def redact_secrets(docs: DataFrame, cfg: SecretConfig = SecretConfig(), text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
@@ -190,20 +190,19 @@ def redact_secrets(docs: DataFrame, cfg: SecretConfig = SecretConfig(), text_col
     chars = docs.columns.index(chars_col) if chars_col in docs.columns else None
     mark = cfg.mark.encode()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts: dict[int, str] = {}
-            for first, _, data, offs in tc.chunks(batch.column(at)):
-                spans: dict[int, list[tuple[int, int]]] = {}
-                for row, b, e, _, _ in scan_chunk(data, offs, cfg):
-                    spans.setdefault(row, []).append((b, e))
-                for row, cut in spans.items():
-                    parts, last = [], int(offs[row])
-                    for b, e in cut:
-                        parts += [data[last:b].tobytes(), mark]
-                        last = e
-                    parts.append(data[last : offs[row + 1]].tobytes())
-                    texts[first + row] = b"".join(parts).decode("utf-8")
-            yield replace_texts(batch, at, chars, texts)
-
-    return docs.mapInArrow(run, docs.schema)
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts: dict[int, str] = {}
+        for first, _, data, offs in tc.chunks(batch.column(at)):
+            spans: dict[int, list[tuple[int, int]]] = {}
+            for row, b, e, _, _ in scan_chunk(data, offs, cfg):
+                spans.setdefault(row, []).append((b, e))
+            for row, cut in spans.items():
+                parts, last = [], int(offs[row])
+                for b, e in cut:
+                    parts += [data[last:b].tobytes(), mark]
+                    last = e
+                parts.append(data[last : offs[row + 1]].tobytes())
+                texts[first + row] = b"".join(parts).decode("utf-8")
+        yield replace_texts(batch, at, chars, texts)
+
+    return map_arrow(docs, run, docs.schema)
