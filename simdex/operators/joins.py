@@ -8,19 +8,27 @@ comparison as a cartesian product of partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions.encode import NORMS, PLANES
-from .storage import small, store
+from .storage import dealt, small, store
 
 VECTOR = (*PLANES, *NORMS)
 
 
 def vectors(df: DataFrame, key: str) -> DataFrame:
-    """Only the key, as ``id``, and the vector columns."""
-    return df.select(F.col(key).alias("id"), *VECTOR)
+    """Only the key, as ``id``, and the vector columns, which can't be null.
+
+    Without null checks the compiled join condition is a fraction of the size.
+    """
+    return df.select(F.col(key).alias("id"), *solid())
+
+
+def solid() -> list[Column]:
+    zero = {**{p: F.lit(0).cast("bigint") for p in PLANES}, **{s: F.lit(0.0) for s in NORMS}}
+    return [F.coalesce(c, z).alias(c) for c, z in zero.items()]
 
 
 def score(lens: str | tuple[float, ...] = "dedup", calibrate: bool = False, a: str = "a.", b: str = "b.") -> str:
@@ -35,11 +43,12 @@ def pairs(df: DataFrame, key: str, threshold: float, lens: str | tuple[float, ..
     cosines. Rows with a null key are left out.
     """
     groups = store(vectors(df, key).where("id is not null").groupBy(*VECTOR).agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("rep", F.element_at("ids", 1)), "vectors")
+    groups = groups.select("ids", "rep", *solid())
     expr = score(lens, calibrate)
     chains = [F.expr(S.chain_cosine("a.", "b.", c)).alias(n) for c, n in enumerate(("edit", "morph", "phrase", "vocab"))] if detail else []
     cols = [F.expr(expr).alias("similarity"), *chains]
     names = ["similarity", *("edit morph phrase vocab".split() if detail else [])]
-    cross = groups.alias("a").join(small(groups).alias("b"), F.expr(f"a.rep < b.rep AND {expr} >= {threshold!r}e0"))
+    cross = dealt(groups).alias("a").join(small(groups).alias("b"), F.expr(f"a.rep < b.rep AND {expr} >= {threshold!r}e0"))
     cross = cross.select(F.col("a.ids").alias("x"), F.col("b.ids").alias("y"), *cols).withColumn("m", F.explode("x")).withColumn("n", F.explode("y"))
     cross = cross.select(F.least("m", "n").alias("i"), F.greatest("m", "n").alias("j"), *names)
     own = groups.where(F.size("ids") > 1).alias("a").join(groups.select("rep", *VECTOR).alias("b"), F.expr("a.rep = b.rep")).where(f"{expr} >= {threshold!r}e0")
@@ -51,13 +60,13 @@ def pairs(df: DataFrame, key: str, threshold: float, lens: str | tuple[float, ..
 def pairs_with_reference(df: DataFrame, key: str, ref: DataFrame, ref_key: str, threshold: float, lens: str | tuple[float, ...] = "dedup", calibrate: bool = False) -> DataFrame:
     """``id, ref_id, similarity`` of all pairs of a row and a reference row."""
     expr = score(lens, calibrate)
-    both = vectors(df, key).alias("a").join(small(vectors(ref, ref_key)).alias("b"), F.expr(f"{expr} >= {threshold!r}e0"))
+    both = dealt(vectors(df, key)).alias("a").join(small(vectors(ref, ref_key)).alias("b"), F.expr(f"{expr} >= {threshold!r}e0"))
     return both.select(F.col("a.id").alias("id"), F.col("b.id").alias("ref_id"), F.expr(expr).alias("similarity"))
 
 
 def scored(df: DataFrame, key: str, ref: DataFrame, ref_key: str, expr: str, where: str = "true") -> DataFrame:
     """Every row with every reference row: ``id, ref_id, similarity``."""
-    both = vectors(df, key).alias("a").join(small(vectors(ref, ref_key)).alias("b"), F.expr(where))
+    both = dealt(vectors(df, key)).alias("a").join(small(vectors(ref, ref_key)).alias("b"), F.expr(where))
     return both.select(F.col("a.id").alias("id"), F.col("b.id").alias("ref_id"), F.expr(expr).alias("similarity"))
 
 
@@ -88,7 +97,7 @@ def top_k(df: DataFrame, key: str, ref: DataFrame, ref_key: str, k: int, lens: s
 def similar_to_any(df: DataFrame, key: str, ref: DataFrame, ref_key: str, threshold: float, lens: str | tuple[float, ...] = "dedup", anti: bool = False) -> DataFrame:
     """Keys of the rows that have (``anti``: that have no) reference at the threshold."""
     expr = score(lens)
-    both = vectors(df, key).alias("a").join(small(vectors(ref, ref_key)).alias("b"), F.expr(f"{expr} >= {threshold!r}e0"), "left_anti" if anti else "left_semi")
+    both = dealt(vectors(df, key)).alias("a").join(small(vectors(ref, ref_key)).alias("b"), F.expr(f"{expr} >= {threshold!r}e0"), "left_anti" if anti else "left_semi")
     return both.select("id")
 
 

@@ -32,3 +32,24 @@ def store(df: DataFrame, name: str = "table") -> DataFrame:
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its rows, counted, are within ``limit``."""
     return F.broadcast(df) if df.count() <= limit else df
+
+
+def spread(df: DataFrame, core_bytes: int = 4 << 20) -> DataFrame:
+    """``df`` over all cores where its input is too small to have a task for each.
+
+    A single small file has one row group, so one task would do all the work; by
+    the optimiser's size estimate such inputs, and only those, are dealt out.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * core_bytes else df
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores or shuffle partitions.
+
+    For the streamed side of a nested-loop join: few bytes, much work a row, which
+    the coalescing of small shuffle partitions would put into one task.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
