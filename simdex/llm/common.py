@@ -70,7 +70,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
                 yield from fn(batch.slice(s, step))
             pool.release_unused()
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -81,3 +81,10 @@ def bound_batches(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, core_bytes: int = 4 << 20) -> DataFrame:
+    """``df`` over all cores where its input, by estimate, is too small to have a task for each."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * core_bytes else df
