@@ -44,8 +44,13 @@ CLASSES = (
     CharClass("hex", _DIGIT + "abcdefABCDEF", 24, 2.6),
     CharClass("base64", _DIGIT + _LOWER + _UPPER + "+/", 20, 3.6),
     CharClass("token", _DIGIT + _LOWER + _UPPER + "_-", 20, 3.6),
+    CharClass("upper", _DIGIT + _UPPER, 20, 3.0),
+    CharClass("assigned", _DIGIT + _LOWER + _UPPER + "+/_-", 10, 2.4),
 )
 
+#: The text before an ``assigned`` candidate: a telling name and a sign of assignment.
+ASSIGNED = re.compile(r"(?i)(pass(word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,2}[=:]{1,2}\s{0,2}[\"']?$")
+
 #: Candidates that match are no secrets: identifiers, placeholders and named digests.
 ALLOW = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
@@ -130,12 +135,16 @@ def scan_chunk(data: np.ndarray, offs: np.ndarray, cfg: SecretConfig) -> list[tu
     for cls in cfg.classes:
         s, e = _runs(data, offs, cls)
         mixed = (digits[e] > digits[s]) & (alphas[e] > alphas[s])
+        if cls.name == "upper":  # access keys by their prefix, with or without a digit
+            mixed |= np.array([data[x : x + 4].tobytes() in (b"AKIA", b"ASIA") for x in s.tolist()], bool)
         s, e = s[mixed], e[mixed]
         bits = window_entropy(data, s, e, cfg.window)
         for k in np.flatnonzero(bits >= cls.bits).tolist():
             row = int(np.searchsorted(offs, s[k], side="right")) - 1
             text = data[s[k] : e[k]].tobytes().decode("ascii")
             lead = data[max(int(offs[row]), int(s[k]) - cfg.context) : s[k]].tobytes().decode("utf-8", "ignore")
+            if cls.name == "assigned" and not ASSIGNED.search(lead):
+                continue
             if any(p.fullmatch(text) for p in allow) or any(p.search(lead) for p in before):
                 continue
             end, last = int(e[k]), min(int(e[k]) + 2, int(offs[row + 1]))
