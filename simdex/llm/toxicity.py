@@ -2,9 +2,10 @@
 
 The automata of all terms are intersected with the lexicon's trie by the subset
 construction; the result is one table that reads a word a character at a time,
-so all distinct words of a batch step through it together. The first character
-must match. A hit's score depends on the words and marks around it, which
-separate abuse from quotation and mention.
+so all distinct words of a batch step through it together. A word that reaches
+a term only by an edit at its first letter counts where the context is telling:
+with a plain second person or a sure hit in its window. A hit's score depends on the
+words and marks around it, which separate abuse from quotation and mention.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ LEXICON = (
 
 #: Ordinary words within the reach of a term; they are no hits.
 ORDINARY = (
+    "rash", "closer", "closers", "oser", "doser", "blown", "flown", "itch", "witch", "ditch", "hitch", "aitch", "galope", "mirthless", "regenerated", "regenerates", "boronic", "petard",
     "thrash", "lose", "loses", "loose", "looser", "lower", "lowers", "lover", "lovers", "lasers", "laser", "layer", "layers", "lesser", "losers'", "leaser", "poser", "crown", "crowns", "clowned", "idiom", "idioms",
     "moon", "moons", "mormon", "mormons", "maroon", "mason", "macron", "cretan", "certain", "custard", "mustard", "batch", "birch", "botch", "butch", "pitch", "retire", "retired", "retards", "permin", "studio", "stupor",
     "rapid", "empathetic", "apathetic", "sympathetic", "generate", "degenerated", "regenerate", "disguising", "imbeciles", "lowlifes", "tras", "track", "stash", "human", "halfway", "moray", "boron", "matron", "motion",
@@ -35,6 +37,8 @@ ORDINARY = (
 )
 
 SECOND_PERSON = "you your yours yourself u ur tu toi vous ton votre du dich dein deine ihr euch te ti vosotros usted ustedes eres".split()
+#: Second persons too common as syllables or other words to make a doubtful hit a sure one.
+FAINT = frozenset({"te", "ti", "ton"})
 REPORTING = "said says say called calls wrote writes quoted quote quotes quoting shouted yelled claimed stated reported according dit disait sagte schrieb dijo escribió".split()
 MENTION = "word words term terms slur insult meaning definition defined dictionary noun adjective translation synonym mot wort palabra".split()
 
@@ -87,8 +91,8 @@ class Automaton:
     longest: int
 
 
-def build(lexicon: tuple[str, ...]) -> Automaton:
-    """Subset construction over (trie node, edits) pairs."""
+def build(lexicon: tuple[str, ...], first: bool = False) -> Automaton:
+    """Subset construction over (trie node, edits) pairs; ``first`` allows edits at the first letter too."""
     terms = sorted(set(lexicon))
     child: list[dict[int, int]] = [{}]
     ends: list[int] = [-1]
@@ -111,7 +115,7 @@ def build(lexicon: tuple[str, ...]) -> Automaton:
         todo = list(states.items())
         while todo:
             node, e = todo.pop()
-            if node and e < reach[node]:
+            if (node or first) and e < reach[node]:
                 for nxt in child[node].values():
                     if e + 1 <= reach[nxt] and e + 1 < states.get(nxt, 9):
                         states[nxt] = e + 1
@@ -122,14 +126,14 @@ def build(lexicon: tuple[str, ...]) -> Automaton:
         out: dict[int, int] = {}
         for node, e in state:
             for s, nxt in child[node].items():
-                cost = e if s == sym else e + 1 if node else 9
+                cost = e if s == sym else e + 1 if node or first else 9
                 if cost <= reach[nxt] and cost < out.get(nxt, 9):
                     out[nxt] = cost
-            if node and e + 1 <= reach[node] and e + 1 < out.get(node, 9):
+            if (node or first) and e + 1 <= reach[node] and e + 1 < out.get(node, 9):
                 out[node] = e + 1
         return close(out)
 
-    start = frozenset({(0, 0)})
+    start = close({0: 0})
     number, queue, rows = {frozenset(): 0, start: 1}, [start], [[0] * _N_SYMBOLS]
     while queue:
         state = queue.pop(0)
@@ -186,11 +190,24 @@ def _is_quoted(text: bytes, begin: int, end: int, reach: int) -> bool:
 
 class Scorer:
     def __init__(self, cfg: ToxicConfig):
-        self.cfg, self.auto = cfg, build(cfg.lexicon)
+        self.cfg, self.auto, self.wide = cfg, build(cfg.lexicon), build(cfg.lexicon, first=True)
         hashed = lambda ws: np.sort(np.array([tc.word_hash(w) for w in ws], np.uint64))
         self.ordinary = hashed(w for w in cfg.ordinary if w.isalpha())
+        self.address = hashed(w for w in SECOND_PERSON if w not in FAINT)
         self.second, self.report, self.mention = hashed(SECOND_PERSON), hashed(REPORTING), hashed(MENTION)
 
+    def _telling(self, w: tc.Words, hits: np.ndarray, weak: np.ndarray) -> np.ndarray:
+        """``hits`` without the weak ones that have neither a plain second person nor a sure hit of their row in the window."""
+        doubt = hits[weak[hits]]
+        if not len(doubt):
+            return hits
+        telling = np.isin(w.hash, self.address)
+        telling[hits[~weak[hits]]] = True
+        upto = np.concatenate([[0], np.cumsum(telling)])
+        low = np.maximum(w.bounds[w.row[doubt]], doubt - self.cfg.window)
+        high = np.minimum(w.bounds[w.row[doubt] + 1], doubt + self.cfg.window + 1)
+        return np.setdiff1d(hits, doubt[upto[high] == upto[low]])
+
     def score(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, float, int, int, list[str]]]:
         """``(row, score, hits, quoted hits, terms)`` of the rows with a hit."""
         cfg, w = self.cfg, tc.words(data, offs)
@@ -198,8 +215,12 @@ class Scorer:
             return []
         _, first_at, typ = np.unique(w.hash, return_index=True, return_inverse=True)
         term, edits = match_words(self.auto, w.folded, w.start[first_at], w.end[first_at])
+        rest = np.flatnonzero(term < 0)
+        term[rest], edits[rest] = match_words(self.wide, w.folded, w.start[first_at[rest]], w.end[first_at[rest]])
+        weak = np.zeros(len(term), bool)
+        weak[rest] = True
         term[np.isin(w.hash[first_at], self.ordinary) & (edits > 0)] = -1
-        hits = np.flatnonzero(term[typ] >= 0)
+        hits = self._telling(w, np.flatnonzero(term[typ] >= 0), weak[typ])
         out: list[tuple[int, float, int, int, list[str]]] = []
         for row in np.unique(w.row[hits]).tolist():
             own = hits[w.row[hits] == row] if len(hits) < 64 else hits[np.searchsorted(w.row[hits], row) : np.searchsorted(w.row[hits], row, side="right")]
