@@ -23,19 +23,22 @@ from .common import map_arrow
 
 LEXICON = (
     "trash", "pathetic", "idiot", "idiots", "idiotic", "worthless", "disgusting", "stupid", "clown", "clowns", "scum", "scumbag", "loser", "losers", "moron", "morons", "moronic",
-    "imbecile", "cretin", "bastard", "bitch", "asshole", "dumbass", "retard", "retarded", "vermin", "subhuman", "degenerate", "halfwit", "dimwit", "nitwit", "lowlife", "douchebag",
+    "imbecile", "imbeciles", "cretin", "bastard", "bitch", "asshole", "dumbass", "retard", "retards", "retarded", "vermin", "subhuman", "degenerate", "halfwit", "dimwit", "nitwit", "lowlife", "lowlifes", "douchebag",
     "connard", "salope", "abruti", "arschloch", "dummkopf", "schwachkopf", "gilipollas", "pendejo", "estupido", "imbecil",
 )
 
 #: Ordinary words within the reach of a term; they are no hits.
 ORDINARY = (
     "rash", "closer", "closers", "oser", "doser", "blown", "flown", "itch", "witch", "ditch", "hitch", "aitch", "galope", "mirthless", "regenerated", "regenerates", "boronic", "petard",
-    "thrash", "lose", "loses", "loose", "looser", "lower", "lowers", "lover", "lovers", "lasers", "laser", "layer", "layers", "lesser", "losers'", "leaser", "poser", "crown", "crowns", "clowned", "idiom", "idioms",
-    "moon", "moons", "mormon", "mormons", "maroon", "mason", "macron", "cretan", "certain", "custard", "mustard", "batch", "birch", "botch", "butch", "pitch", "retire", "retired", "retards", "permin", "studio", "stupor",
-    "rapid", "empathetic", "apathetic", "sympathetic", "generate", "degenerated", "regenerate", "disguising", "imbeciles", "lowlifes", "tras", "track", "stash", "human", "halfway", "moray", "boron", "matron", "motion",
-    "crash", "brash", "trust", "clow", "clan", "clone", "close", "down", "tranh", "toon", "loner", "loners", "lowed", "loaded", "moran", "morin", "worthies", "wordless", "salop", "abrupt", "brut",
+    "thrash", "lose", "loses", "loose", "lower", "lowers", "lover", "lovers", "lasers", "laser", "layer", "layers", "lesser", "losers'", "leaser", "poser", "crown", "crowns", "clowned", "idiom", "idioms",
+    "moon", "moons", "mormon", "mormons", "maroon", "mason", "macron", "cretan", "certain", "custard", "mustard", "batch", "birch", "botch", "butch", "pitch", "retire", "retired", "regards", "rewards", "petards", "permin", "studio", "stupor",
+    "rapid", "empathetic", "apathetic", "sympathetic", "generate", "degenerated", "regenerate", "disguising", "tras", "track", "stash", "human", "halfway", "moray", "boron", "matron", "motion",
+    "crash", "brash", "trust", "clan", "clone", "close", "down", "tranh", "toon", "loner", "loners", "lowed", "loaded", "moran", "morin", "worthies", "wordless", "salop", "abrupt", "brut",
 )
 
+#: Ordinary words that are also common misspellings of a term; their context decides.
+EITHER = ("looser",)
+
 SECOND_PERSON = "you your yours yourself u ur tu toi vous ton votre du dich dein deine ihr euch te ti vosotros usted ustedes eres".split()
 #: Second persons too common as syllables or other words to make a doubtful hit a sure one.
 FAINT = frozenset({"te", "ti", "ton"})
@@ -193,6 +196,7 @@ class Scorer:
         self.cfg, self.auto, self.wide = cfg, build(cfg.lexicon), build(cfg.lexicon, first=True)
         hashed = lambda ws: np.sort(np.array([tc.word_hash(w) for w in ws], np.uint64))
         self.ordinary = hashed(w for w in cfg.ordinary if w.isalpha())
+        self.either = hashed(EITHER)
         self.address = hashed(w for w in SECOND_PERSON if w not in FAINT)
         self.second, self.report, self.mention = hashed(SECOND_PERSON), hashed(REPORTING), hashed(MENTION)
 
@@ -219,6 +223,7 @@ class Scorer:
         term[rest], edits[rest] = match_words(self.wide, w.folded, w.start[first_at[rest]], w.end[first_at[rest]])
         weak = np.zeros(len(term), bool)
         weak[rest] = True
+        weak |= np.isin(w.hash[first_at], self.either)
         term[np.isin(w.hash[first_at], self.ordinary) & (edits > 0)] = -1
         hits = self._telling(w, np.flatnonzero(term[typ] >= 0), weak[typ])
         out: list[tuple[int, float, int, int, list[str]]] = []

@@ -51,3 +51,9 @@ def test_first_letter_edits_count_in_a_telling_context():
         got = toxic([f"you are {word}", f"that pathetic {word} again", f"the {word} stood there", f"you {'and so on ' * 3} {word}"])
         assert sorted(got) == sorted([f"you are {word}", f"that pathetic {word} again"]) and min(got.values()) >= least
     assert toxic(["you keep it closer", "your rash and your itch", "oron"]) == {}
+
+
+def test_abusive_plurals_are_terms_and_context_decides_looser():
+    abuse = ["you retards", "you imbeciles", "these lowlifes", "what a clow he is", "you looser"]
+    got = toxic([*abuse, "a looser knot", "best regards", "rewards for you"])
+    assert sorted(got) == sorted(abuse) and min(got.values()) >= toxicity.ToxicConfig().threshold
