@@ -59,7 +59,6 @@ class ToxicConfig:
     reporting: float = 0.8
     mention: float = 0.5
     quoted: float = 0.4
-    quote_bytes: int = 240
     threshold: float = 0.75
 
 
@@ -182,13 +181,52 @@ def match_words(auto: Automaton, folded: np.ndarray, start: np.ndarray, end: np.
     return term, edits
 
 
-def _is_quoted(text: bytes, begin: int, end: int, reach: int) -> bool:
-    """Between a pair of quotation marks on its line, within ``reach`` bytes."""
-    left = text[max(0, begin - reach) : begin].rsplit(b"\n", 1)[-1]
-    right = text[end : end + reach].split(b"\n", 1)[0]
-    if left.count(b'"') % 2 == 1 and b'"' in right:
-        return True
-    return any(left.rfind(o) > left.rfind(c) and c in right for o, c in ((b"\xc2\xab", b"\xc2\xbb"), (b"\xe2\x80\x9c", b"\xe2\x80\x9d"), (b"\xe2\x80\x9e", b"\xe2\x80\x9c")))
+_PAIRS = ((b"\xc2\xab", b"\xc2\xbb"), (b"\xe2\x80\x9c", b"\xe2\x80\x9d"), (b"\xe2\x80\x9e", b"\xe2\x80\x9c"))
+
+
+def _places(data: np.ndarray, mark: bytes) -> np.ndarray:
+    """Where ``mark`` begins in ``data``, ascending."""
+    at = np.flatnonzero(data[: max(0, len(data) - len(mark) + 1)] == mark[0])
+    for k, byte in enumerate(mark[1:], 1):
+        at = at[data[at + k] == byte]
+    return at
+
+
+def are_quoted(data: np.ndarray, offs: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each span lies between a pair of quotation marks on its line.
+
+    Lines end at line feeds and rows. Straight marks are counted from the line's
+    start; of the others the last one before the span must open and a closing one
+    must follow on the line. A mark that closes a low one opens nothing.
+    """
+    edges = np.union1d(_places(data, b"\n") + 1, offs)
+    line = np.searchsorted(edges, begin, side="right")
+    low, high = edges[line - 1], np.append(edges, len(data) + 1)[line]
+    seen = np.concatenate([[0], np.cumsum(data == 34)])
+    high = np.minimum(high, len(data))
+    out = ((seen[begin] - seen[low]) % 2 == 1) & (seen[high] > seen[end])
+    low_open, low_close = _places(data, _PAIRS[2][0]), _places(data, _PAIRS[2][1])
+    for opening, closing in _PAIRS:
+        opens, closes = _places(data, opening), _places(data, closing)
+        if not len(opens) or not len(closes):
+            continue
+        if opening == _PAIRS[1][0] and len(low_open):
+            opens = opens[~_closes_low(edges, low_open, low_close, opens)]
+        last_open, last_close = _last(opens, begin), _last(closes, begin)
+        following = np.append(closes, len(data))[np.searchsorted(closes, end)]
+        out |= (last_open >= low) & (last_open > last_close) & (following < high)
+    return out
+
+
+def _last(places: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The last of ``places`` before each position, -1 where none is."""
+    return np.concatenate([[-1], places])[np.searchsorted(places, before)]
+
+
+def _closes_low(edges: np.ndarray, low_open: np.ndarray, close: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the mark at each place is the first closing one after a low mark of its line."""
+    opened = _last(low_open, at)
+    return (opened >= edges[np.searchsorted(edges, at, side="right") - 1]) & (opened > _last(close, at))
 
 
 class Scorer:
@@ -226,11 +264,11 @@ class Scorer:
         weak |= np.isin(w.hash[first_at], self.either)
         term[np.isin(w.hash[first_at], self.ordinary) & (edits > 0)] = -1
         hits = self._telling(w, np.flatnonzero(term[typ] >= 0), weak[typ])
+        inside = are_quoted(data, offs, w.start[hits], w.end[hits])
         out: list[tuple[int, float, int, int, list[str]]] = []
         for row in np.unique(w.row[hits]).tolist():
             own = hits[w.row[hits] == row] if len(hits) < 64 else hits[np.searchsorted(w.row[hits], row) : np.searchsorted(w.row[hits], row, side="right")]
             b, e = int(w.bounds[row]), int(w.bounds[row + 1])
-            text, base = data[offs[row] : offs[row + 1]].tobytes(), int(offs[row])
             best, quoted = 0.0, 0
             for i in own.tolist():
                 around = w.hash[max(b, i - cfg.window) : min(e, i + cfg.window + 1)]
@@ -238,7 +276,7 @@ class Scorer:
                 s = cfg.own[int(edits[typ[i]])] + cfg.neighbour * near
                 if np.isin(around, self.second).any():
                     s += cfg.second_person
-                if _is_quoted(text, int(w.start[i]) - base, int(w.end[i]) - base, cfg.quote_bytes):
+                if inside[np.searchsorted(hits, i)]:
                     s *= cfg.quoted
                     quoted += 1
                     if np.isin(around, self.report).any():

@@ -57,3 +57,38 @@ def test_abusive_plurals_are_terms_and_context_decides_looser():
     abuse = ["you retards", "you imbeciles", "these lowlifes", "what a clow he is", "you looser"]
     got = toxic([*abuse, "a looser knot", "best regards", "rewards for you"])
     assert sorted(got) == sorted(abuse) and min(got.values()) >= toxicity.ToxicConfig().threshold
+
+
+def quoted_by_scan(line, begin, end):
+    """Straight, angle, high and low marks of one line, read from its start."""
+    straight, angle, high, low = 0, False, False, False
+    for c in line[:begin]:
+        straight += c == '"'
+        angle = c == "\u00ab" or angle and c != "\u00bb"
+        if c == "\u201c":
+            low, high = (False, high) if low else (low, True)
+        low, high = low or c == "\u201e", high and c != "\u201d"
+    rest = line[end:]
+    return straight % 2 == 1 and '"' in rest or angle and "\u00bb" in rest or high and "\u201d" in rest or low and "\u201c" in rest
+
+
+def test_quotation_is_judged_over_the_whole_line():
+    long = "and so on it went for a good while " * 12
+    texts = [f'he "{long}" went, what an idiot, and "so" on', f'he said "{long} what an idiot {long}" then', f'"a\nwhat an idiot" said', f"x \u201c{long} idiot {long}\u201d y", f"\u201e{long}\u201c idiot \u201ca\u201d"]
+    got, t = toxic(texts), toxicity.ToxicConfig()
+    assert [got[x] >= t.threshold for x in texts] == [True, False, True, False, True]
+
+
+def test_quotation_against_a_scan():
+    rng = np.random.default_rng(4)
+    rows = ["".join(rng.choice(list('a  \n""\u00ab\u00bb\u201c\u201d\u201eé'), rng.integers(0, 40))) for _ in range(300)]
+    data, offs = np.frombuffer("".join(rows).encode(), np.uint8), np.cumsum([0, *(len(r.encode()) for r in rows)])
+    w = tc.words(data, offs)
+    got = toxicity.are_quoted(data, offs, w.start, w.end)
+    for s, e, r, q in zip(w.start, w.end, w.row, got):
+        text = rows[r].encode()
+        s, e = s - offs[r], e - offs[r]
+        begin = text.rfind(b"\n", 0, s) + 1
+        line = text[begin:].split(b"\n", 1)[0]
+        at, to = len(line[: s - begin].decode()), len(line[: e - begin].decode())
+        assert q == quoted_by_scan(line.decode(), at, to), (rows[r], s)
