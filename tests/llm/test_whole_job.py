@@ -3,8 +3,8 @@
 import numpy as np
 import pyarrow as pa
 
+from simdex.llm import pii, toxicity
 from simdex.llm import textcore as tc
-from simdex.llm import toxicity
 
 
 def distance(a, b):
@@ -92,3 +92,20 @@ def test_quotation_against_a_scan():
         line = text[begin:].split(b"\n", 1)[0]
         at, to = len(line[: s - begin].decode()), len(line[: e - begin].decode())
         assert q == quoted_by_scan(line.decode(), at, to), (rows[r], s)
+
+
+def test_scores_do_not_depend_on_the_number_of_candidates():
+    calm = "and then nothing of note was said by anyone for a good long while there "
+    text = f"{calm}card 4111111111111111 {calm}ssn 123-45-6789 {calm}call +1 (017) 555-7713 {calm}account DE89370400440532013000 {calm}"
+    cfg = pii.PiiConfig()
+    model, copies = pii.train(cfg), 40
+    one, many = pii.select(text, model, cfg), pii.select(text * copies, model, cfg)
+    assert len(pii.candidates(text * copies)) > 200 and len(one) >= 3
+    assert many == [(b + k * len(text), e + k * len(text), kind, p) for k in range(copies) for b, e, kind, p in one]
+
+
+def test_overlaps_against_each_pair():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 7, 199, 200, 400):
+        spans = [(int(b), int(b + w), "card") for b, w in zip(rng.integers(0, 900, n), rng.integers(1, 30, n))]
+        assert pii._overlaps(spans) == [sum(o[0] < s[1] and s[0] < o[1] for o in spans) - 1 for s in spans]
