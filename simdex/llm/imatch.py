@@ -99,24 +99,44 @@ def _md5(terms: list[bytes], pick: np.ndarray) -> str:
     return hashlib.md5(b" ".join([terms[i] for i in pick.tolist()])).hexdigest()
 
 
-def fingerprints(docs: DataFrame, cfg: IMatchConfig = IMatchConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _short_signatures(count: np.ndarray, cfg: IMatchConfig, column: pa.Array) -> list[str | None]:
+    """Marked hashes of all distinct terms of the rows that have too few in the band."""
+    out: list[str | None] = [None] * len(column)
+    for first, rows, data, offs in tc.chunks(column, _CHUNK):
+        few = np.flatnonzero(count[first : first + rows] < cfg.fewest)
+        if not len(few):
+            continue
+        w = tc.words(data, offs)
+        for r in few.tolist():
+            span = slice(w.bounds[r], w.bounds[r + 1])
+            terms = sorted({w.folded[s:e].tobytes() for s, e in zip(w.start[span].tolist(), w.end[span].tolist())})
+            if terms:
+                out[first + r] = "short-" + hashlib.md5(b" ".join(terms)).hexdigest()
+    return out
+
+
+def fingerprints(docs: DataFrame, cfg: IMatchConfig = IMatchConfig(), id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``doc_id, n_terms, sig0 .. sigK`` of every row.
 
     ``sig0`` hashes all terms in the band, ``sig1`` on those of the randomised
     lexicons; documents that share any are duplicates by I-Match. A signature is
     null where its terms are none, and all are where there are fewer than
-    ``cfg.fewest`` terms: so for null, empty and very short texts. Frequencies
-    count rows, repeated ones too; a null id stays null; an empty table gives no
-    rows.
+    ``cfg.fewest`` terms: so for null, empty and very short texts. With ``short``
+    such texts have, in a further column ``sig_short``, the hash of all their
+    distinct terms behind ``short-``, so that their exact copies share one; it is
+    null for texts without a word and for all others. Frequencies count rows,
+    repeated ones too; a null id stays null; an empty table gives no rows.
     """
     rows = lexicon(docs, cfg, text_col).select("term").toArrow()
     known = np.sort(rows.column(0).to_numpy().view(np.uint64))
     shared = docs.sparkSession.sparkContext.broadcast(known)
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    names = [f"sig{j}" for j in range(cfg.subsets + 1)]
+    names = [f"sig{j}" for j in range(cfg.subsets + 1)] + ["sig_short"] * short
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         count, sigs = _signatures(shared.value, cfg, batch.column(1))
+        if short:
+            sigs.append(_short_signatures(count, cfg, batch.column(1)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), *(pa.array(s, pa.string()) for s in sigs)], names=["doc_id", "n_terms", *names])
 
     return map_arrow(src, run, "doc_id bigint, n_terms int, " + ", ".join(f"{n} string" for n in names))

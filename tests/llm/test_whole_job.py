@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from simdex.llm import pii, toxicity
+from simdex.llm import imatch, pii, toxicity
 from simdex.llm import textcore as tc
 
 
@@ -109,3 +109,16 @@ def test_overlaps_against_each_pair():
     for n in (0, 1, 7, 199, 200, 400):
         spans = [(int(b), int(b + w), "card") for b, w in zip(rng.integers(0, 900, n), rng.integers(1, 30, n))]
         assert pii._overlaps(spans) == [sum(o[0] < s[1] and s[0] < o[1] for o in spans) - 1 for s in spans]
+
+
+def test_exact_copies_of_short_texts_share_a_fingerprint(spark):
+    rows = [(1, "Two words"), (2, "two words"), (3, "words two three"), (4, ""), (5, None), (6, "..."), (7, "!?"), (8, "rare vocabulary altogether elsewhere unseen"), (9, "rare vocabulary altogether elsewhere unseen")]
+    rows += [(100 + i, f"common text number {i % 7} with enough terms {i % 5} to be known") for i in range(90)]
+    docs, cfg = spark.createDataFrame(rows, "doc_id bigint, text string"), imatch.IMatchConfig(least=0.04, most=1.0)
+    prints = imatch.fingerprints(docs, cfg, short=True)
+    got = {r.doc_id: r for r in prints.collect()}
+    assert got[1].sig_short == got[2].sig_short != got[3].sig_short and got[1].sig_short.startswith("short-")
+    assert all(got[i].sig_short is None for i in (4, 5, 6, 7, 100)) and got[100].sig0 is not None
+    groups = [list(r.docs) for r in imatch.duplicate_groups(prints).collect()]
+    assert [1, 2] in groups and [8, 9] in groups
+    assert "sig_short" not in imatch.fingerprints(docs, cfg).columns
