@@ -28,7 +28,7 @@ class JaccardConfig:
     """``bands`` x ``rows`` values find candidates, ``compare`` further ones prune them.
 
     At similarity 0.5 a pair meets in some band with probability 0.92, at 0.6
-    with 0.996; ``tolerance`` bounds the posterior at which a pair is dropped.
+    with 0.996; ``tolerance``, shared by the steps, bounds the posterior at which a pair is dropped.
     """
 
     n: int = 3
@@ -65,11 +65,21 @@ def minhash(grams: np.ndarray, bounds: np.ndarray, cfg: JaccardConfig) -> np.nda
     return out
 
 
+def compared_bytes(values: np.ndarray) -> np.ndarray:
+    """The low byte of each MinHash value, a row per text.
+
+    A minimum's high bytes tend to 0 as sets grow and agree whatever the
+    similarity; its low byte stays uniform.
+    """
+    return np.ascontiguousarray(values.astype(np.uint8).T)
+
+
 def minimum_matches(cfg: JaccardConfig) -> np.ndarray:
-    """Fewest equal values after each step for which the posterior stays above the tolerance.
+    """Fewest equal values after each step for which the posterior stays above the step's tolerance.
 
     Values are kept as one byte, so similarity ``s`` matches with probability
-    ``s + (1 - s) / 256``; the prior on ``s`` is uniform.
+    ``s + (1 - s) / 256``; the prior on ``s`` is uniform. The steps share the
+    tolerance evenly, as a pair that reaches the threshold is at risk in each.
     """
     s = (np.arange(4000) + 0.5) / 4000
     p = s + (1 - s) / 256
@@ -79,7 +89,7 @@ def minimum_matches(cfg: JaccardConfig) -> np.ndarray:
         log = m * np.log(p) + (n - m) * np.log1p(-p)
         like = np.exp(log - log.max(axis=1, keepdims=True))
         above = like[:, s >= cfg.threshold].sum(axis=1) / like.sum(axis=1)
-        out.append(int(np.argmax(above >= cfg.tolerance)))
+        out.append(int(np.argmax(above >= cfg.tolerance * cfg.step / cfg.compare)))
     return np.array(out)
 
 
@@ -106,7 +116,7 @@ def _set_rows(cfg: JaccardConfig):
                 for r in range(cfg.rows):
                     acc = tc.mix64(acc ^ sig[b * cfg.rows + r]) + np.uint64(b)
                 keys[:, b] = acc
-            side = np.ascontiguousarray((sig[cut:] >> np.uint32(24)).astype(np.uint8).T)
+            side = compared_bytes(sig[cut:])
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.take(pa.array(first + filled)),
@@ -187,7 +197,7 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
 
 
 def prune(pairs: DataFrame, classes: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """Pairs whose posterior stays above the tolerance at every step."""
+    """Pairs whose posterior stays above its share of the tolerance at every step."""
     floor, step = minimum_matches(cfg), cfg.step
     sig = classes.select("fp", "sig")
     both = pairs.join(sig.select(F.col("fp").alias("a"), F.col("sig").alias("sa")).hint("shuffle_hash"), "a")

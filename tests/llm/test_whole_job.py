@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from simdex.llm import imatch, pii, toxicity
+from simdex.llm import imatch, jaccard, pii, toxicity
 from simdex.llm import textcore as tc
 
 
@@ -122,3 +122,27 @@ def test_exact_copies_of_short_texts_share_a_fingerprint(spark):
     groups = [list(r.docs) for r in imatch.duplicate_groups(prints).collect()]
     assert [1, 2] in groups and [8, 9] in groups
     assert "sig_short" not in imatch.fingerprints(docs, cfg).columns
+
+
+def found_and_kept(similarity, size, pairs):
+    """Shares of pairs of random sets that meet in a band and survive the pruning, and that survive it."""
+    cfg, rng = jaccard.JaccardConfig(), np.random.default_rng(12)
+    union = round(2 * size / (1 + similarity))
+    common = round(similarity * union)
+    own, sets = (union - common) // 2, []
+    for _ in range(pairs):
+        g = rng.integers(0, 1 << 63, common + 2 * own, dtype=np.uint64)
+        sets += [g[: common + own], np.delete(g, np.s_[common : common + own])]
+    sig, cut = jaccard.minhash(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), cfg), cfg.bands * cfg.rows
+    meet = (sig[:cut, ::2] == sig[:cut, 1::2]).reshape(cfg.bands, cfg.rows, -1).all(axis=1).any(axis=0)
+    side = jaccard.compared_bytes(sig[cut:])
+    hits = np.cumsum(side[::2] == side[1::2], axis=1)[:, cfg.step - 1 :: cfg.step]
+    kept = (hits >= jaccard.minimum_matches(cfg)).all(axis=1)
+    return (meet & kept).mean(), kept.mean()
+
+
+def test_pruning_drops_dissimilar_pairs_and_keeps_recall():
+    for size in (100, 400, 1000):
+        assert found_and_kept(0.0, size, 200)[1] == 0
+        assert found_and_kept(0.2, size, 300)[1] < 0.15
+        assert found_and_kept(0.5, size, 1200)[0] > 0.9
