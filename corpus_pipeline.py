@@ -8,6 +8,7 @@ sf_dir); :func:`run` writes each result to the shared folder and rereads it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from simdex.llm import decontaminate, jaccard, langid, mixing, secrets
 from simdex.llm.common import BROADCAST_ROWS, materialize, maybe_broadcast, table
@@ -21,17 +22,21 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each near-duplicate group.
 
-    Texts without a word and rows with a null id are in no group and stay; of
-    rows that repeat an id, all stay or go together, one a distinct row.
+    Texts without a word and rows with a null id are in no group and stay. Of
+    rows that repeat an id one a distinct row is taken, and each goes by its own
+    text's group: by the id alone a group could go whole.
     """
     drops = materialize(jaccard.near_duplicate_drops(docs), "drops")
-    kept = docs.join(maybe_broadcast(drops, drops.count(), BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)
+    drops = maybe_broadcast(drops, drops.count(), BROADCAST_ROWS)
     again = materialize(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "again")
     n_again = again.count()
     if not n_again:
-        return kept
+        return docs.join(drops, "doc_id", "left_anti").select(*docs.columns)
     repeated = maybe_broadcast(again, n_again)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).distinct())
+    once = docs.join(repeated, "doc_id", "left_anti").join(drops, "doc_id", "left_anti").select(*docs.columns)
+    rows = jaccard.with_class(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).distinct(), "class of text")
+    gone = drops.select("doc_id", F.col("fp").alias("class of text"))
+    return once.unionByName(rows.join(gone, ["doc_id", "class of text"], "left_anti").select(*docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import textcore as tc
 from .common import discard, map_arrow, materialize, maybe_broadcast
@@ -368,11 +369,29 @@ def ngram_jaccard_join(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), id
     return ordered.unionByName(same)
 
 
+def with_class(docs: DataFrame, column: str, cfg: JaccardConfig = JaccardConfig(), text_col: str = "text") -> DataFrame:
+    """``docs`` with the class of each row's n-gram set in a further ``column``, null where it has none."""
+    texts = docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out: list[int | None] = [None] * batch.num_rows
+        for first, n, data, offs in tc.chunks(batch.column(texts)):
+            w = tc.words(data, offs)
+            grams, bounds = tc.ngram_hashes(w.hash, w.bounds, cfg.n)
+            for r in range(n):
+                u = np.unique(grams[bounds[r] : bounds[r + 1]])
+                if len(u):
+                    out[first + r] = int(_fingerprint(u).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, column])
+
+    return map_arrow(docs, run, StructType([*docs.schema.fields, StructField(column, LongType())]))
+
+
 def near_duplicate_drops(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` of every document but the smallest of its duplicate group."""
+    """``doc_id, fp`` of every document but the smallest of its duplicate group; ``fp`` is its class, as of :func:`with_class`."""
     classes, pairs = class_pairs(docs, cfg, id_col, text_col)
     comps = connected_components(materialize(pairs.select("a", "b"), "edges"))
     groups = classes.select("fp", F.explode("docs").alias("doc_id")).join(comps.withColumnRenamed("node", "fp"), "fp", "left")
     groups = groups.withColumn("grp", F.coalesce("comp", "fp"))
     first = groups.groupBy("grp").agg(F.min("doc_id").alias("keep"), F.count("*").alias("n")).where("n > 1")
-    return groups.join(first, "grp").where("doc_id <> keep").select("doc_id").distinct()
+    return groups.join(first, "grp").where("doc_id <> keep").select("doc_id", "fp").distinct()

@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
 from simdex.llm import imatch, jaccard, pii, toxicity
 from simdex.llm import textcore as tc
 
@@ -146,3 +147,11 @@ def test_pruning_drops_dissimilar_pairs_and_keeps_recall():
         assert found_and_kept(0.0, size, 200)[1] == 0
         assert found_and_kept(0.2, size, 300)[1] < 0.15
         assert found_and_kept(0.5, size, 1200)[0] > 0.9
+
+
+def test_no_group_vanishes_where_an_id_has_two_texts(spark, tmp_path):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in ("left", "right"))
+    rows = [(5, a), (5, b), (5, b), (7, a), (3, b), (9, "alone in this table"), (5, "..."), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [tuple(r) for r in corpus_pipeline.deduplicate(spark, docs, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(5, a), (3, b), (9, rows[5][1]), (5, "..."), (None, a)], key=str)
