@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from simdex.llm import imatch, jaccard, pii, toxicity
@@ -155,3 +156,54 @@ def test_no_group_vanishes_where_an_id_has_two_texts(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = [tuple(r) for r in corpus_pipeline.deduplicate(spark, docs, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted([(5, a), (3, b), (9, rows[5][1]), (5, "..."), (None, a)], key=str)
+
+
+def test_disguised_terms_are_found():
+    abuse = ["what an i d i o t he is", "what an i.d.i.o.t he is", "a stu-pid thing", "stupiiiid stuff", "such an іdiоt", "mo_ron at work"]
+    assert sorted(toxic([*abuse, "a i b c d e plan", "pre-id check", "well-off mo ron", "aaaargh"])) == sorted(abuse)
+
+
+def labelled(n, seed):
+    """Documents in an invented language: toxic ones hold two or three of its abuse words, any may hold one by chance."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(["ba", "ko", "ri", "mu", "té", "lo", "sa", "zi"], 3))
+    bad = ["grovaxi", "plontér", "skrimul", "vrekato", "drunfle", "klaspor"]
+    rows = []
+    for i in range(n):
+        text = [word() for _ in range(40)]
+        toxic = int(i % 5 == 0)
+        for b in rng.choice(bad, rng.integers(2, 4), replace=False) if toxic else rng.choice(bad, 1) if rng.random() < 0.02 else []:
+            text.insert(int(rng.integers(len(text))), str(b))
+        rows.append((i, " ".join(text), toxic))
+    return rows
+
+
+def test_terms_are_learned_from_labels_and_hold_on_other_documents(spark):
+    rows = labelled(900, 1)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows if i < 600] + [(None, 1), (7, None), (10**9, 1)], "doc_id bigint, toxic int").withColumn("text", F.lit("clash"))
+    got = {r.doc_id: r for r in toxicity.find_toxic(docs, labels).collect()}
+    other = [(i, t) for i, _, t in rows if i >= 600]
+    caught = [i in got for i, t in other if t]
+    wrong = [i in got for i, t in other if not t]
+    assert np.mean(caught) > 0.95 and np.mean(wrong) < 0.03
+    assert {t for r in got.values() for t in r.terms} <= {"grovaxi", "plontér", "skrimul", "vrekato", "drunfle", "klaspor"}
+    assert {r.doc_id: r for r in toxicity.find_toxic(docs, labels.repartition(5)).collect()} == got
+
+
+def test_quoted_learned_terms_prove_less(spark):
+    learned = toxicity.Learned(["grovaxi", "skrimul"], np.sort(np.array([tc.word_hash(x) for x in ("grovaxi", "skrimul")], np.uint64)), np.array([[4.0, 4.0]]), np.zeros(0, np.uint64), np.array([1.0, 0.0, -5.0]), 0.5)
+    scorer = toxicity.Scorer(toxicity.ToxicConfig(), learned)
+    score = lambda text: next((r[1] for _, _, d, o in tc.chunks(pa.array([text])) for r in scorer.score(d, o)), 0.0)
+    t = toxicity.ToxicConfig().threshold
+    assert score("grovaxi and skrimul here") >= t > score('he said "grovaxi and skrimul" here')
+    assert score("a grovaxi " * 9) < t and score("grovaxo and skrimul here") >= t > score("grovaxo " + "and so on " * 9 + "skrimulo")
+
+
+def test_toxicity_without_usable_labels(spark):
+    docs = spark.createDataFrame([(1, "you are an idiot"), (2, None), (3, ""), (None, "calm")], "doc_id bigint, text string")
+    for rows in ([], [(1, 1)], [(2, 0), (3, 1)], [(9, 0), (8, 1)]):
+        labels = spark.createDataFrame(rows, "doc_id bigint, toxic int")
+        assert [r.doc_id for r in toxicity.find_toxic(docs, labels).collect()] == [1]
+    empty = docs.limit(0)
+    assert toxicity.find_toxic(empty, spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int")).collect() == []
