@@ -4,8 +4,8 @@ Documents with the same n-gram set form a class that is compared once. Classes
 meet in LSH bands; each candidate pair then compares further MinHash values a
 few at a time and is dropped once the posterior probability that its Jaccard
 similarity reaches the threshold falls below the tolerance. What survives is
-verified exactly on the n-gram sets, in which each class is shipped once to its
-group of surviving pairs (once a tile where a group is very large).
+verified exactly on the n-gram sets, in which each class is shipped to the tiles
+that hold its surviving pairs: one for a common group, several for a very large one.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ class JaccardConfig:
 
     At similarity 0.5 a pair meets in some band with probability 0.92, at 0.6
     with 0.996; ``tolerance``, shared by the steps, bounds the posterior at which a pair is dropped.
+    A band's bucket of more than ``bucket`` classes is compared in blocks by several
+    tasks; a tile of verification holds about ``tile`` classes or ``tile_grams`` grams a side.
     """
 
     n: int = 3
@@ -39,7 +41,9 @@ class JaccardConfig:
     compare: int = 64
     step: int = 8
     tolerance: float = 0.01
+    bucket: int = 1024
     tile: int = 4096
+    tile_grams: int = 2_000_000
     seed: int = 7
 
     @property
@@ -139,20 +143,24 @@ def _fingerprint(unique_grams: np.ndarray) -> np.uint64:
         return tc.mix64(np.array([total + np.uint64(len(unique_grams)) * np.uint64(0xA0761D6478BD642F)], np.uint64) ^ other)[0]
 
 
-def set_classes(docs: DataFrame, cfg: JaccardConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per distinct n-gram set: ``fp, docs, size, sig, keys``."""
+def set_classes(docs: DataFrame, cfg: JaccardConfig, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Stored tables: one row per distinct n-gram set, ``fp, size, sig, keys``; and ``doc_id, fp`` of every document."""
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    rows = map_arrow(src, _set_rows(cfg), "doc_id bigint, fp bigint, size int, sig binary, keys array<bigint>")
-    return rows.groupBy("fp").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    sets = materialize(map_arrow(src, _set_rows(cfg), "doc_id bigint, fp bigint, size int, sig binary, keys array<bigint>"), "sets")
+    members = materialize(sets.select("doc_id", "fp").distinct(), "members")
+    classes = materialize(sets.groupBy("fp").agg(F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "classes")
+    discard(sets)
+    return classes, members
 
 
 def _emit_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within each run of equal keys; input is sorted by key."""
-    keep_k, keep_v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Pairs within each run of equal keys, or between its sides 1 and 2; input is sorted by key and side."""
+    keep = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)]
 
-    def pairs(k: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(k: np.ndarray, v: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
-        size = np.diff(edge)
+        whole = side[edge[:-1]] == 0
+        size = np.where(whole, np.diff(edge), 0)
         for m in np.unique(size[size > 1]):
             at = edge[:-1][size == m]
             if m <= 64:
@@ -163,38 +171,55 @@ def _emit_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield _batch(grp[:, i].ravel(), grp[:, j].ravel())
             else:
                 for s in at:
-                    grp = v[s : s + m]
-                    left, parts = 0, []
-                    for i in range(m - 1):
-                        parts.append((np.full(m - 1 - i, grp[i]), grp[i + 1 :]))
-                        left += m - 1 - i
-                        if left > 500_000 or i == m - 2:
-                            yield _batch(np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts]))
-                            left, parts = 0, []
+                    yield from _rows_of(v[s : s + m], [v[s + i + 1 : s + m] for i in range(m)])
+        for s, e in zip(edge[:-1][~whole], edge[1:][~whole]):
+            cut = s + int(np.searchsorted(side[s:e], 2))
+            yield from _rows_of(v[s:cut], [v[cut:e]] * (cut - s))
 
     for batch in batches:
-        k = np.concatenate([keep_k, batch.column(0).to_numpy(zero_copy_only=False)])
-        v = np.concatenate([keep_v, batch.column(1).to_numpy(zero_copy_only=False)])
+        k, v, side = (np.concatenate([old, batch.column(c).to_numpy(zero_copy_only=False)]) for c, old in enumerate(keep))
         if not len(k):
             continue
         cut = int(np.searchsorted(k, k[-1], side="left"))
         if cut:
-            yield from pairs(k[:cut], v[:cut])
-        keep_k, keep_v = k[cut:], v[cut:]
-    if len(keep_k):
-        yield from pairs(keep_k, keep_v)
+            yield from pairs(k[:cut], v[:cut], side[:cut])
+        keep = [k[cut:], v[cut:], side[cut:]]
+    if len(keep[0]):
+        yield from pairs(*keep)
+
+
+def _rows_of(left: np.ndarray, right: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each left-hand class with its own right-hand ones, some 500,000 at a time."""
+    pend, n = [], 0
+    for i, r in enumerate(right):
+        pend.append((np.full(len(r), left[i]), r))
+        n += len(r)
+        if n > 500_000 or i == len(right) - 1:
+            if n:
+                yield _batch(np.concatenate([x for x, _ in pend]), np.concatenate([y for _, y in pend]))
+            pend, n = [], 0
 
 
 def _batch(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """Distinct pairs of classes that share a band, partitioned by ``a``."""
+def candidate_pairs(classes: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
+    """Distinct pairs of classes that share a band.
+
+    Buckets are counted first. One of more than ``cfg.bucket`` classes is dealt by
+    a hash into blocks, and each pair of blocks is a task's run of its own.
+    """
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = classes.select(F.explode("keys").alias("k"), "fp")
-    found = rows.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(_emit_pairs, "a bigint, b bigint")
-    return found.repartition(parts, "a").dropDuplicates(["a", "b"])
+    big = materialize(rows.groupBy("k").count().where(F.col("count") > cfg.bucket).select("k", F.ceil(F.col("count") / F.lit(cfg.bucket)).cast("int").alias("m")), "buckets")
+    dealt = rows.join(maybe_broadcast(big, big.count()), "k", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    run = F.when(F.col("m") == 1, F.col("k")).otherwise(F.xxhash64("k", F.least("block", "other"), F.greatest("block", "other")))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("tinyint")
+    dealt = dealt.select(run.alias("k"), "fp", side.alias("side"))
+    found = dealt.repartition(parts, "k").sortWithinPartitions("k", "side").mapInArrow(_emit_pairs, "a bigint, b bigint")
+    return found.dropDuplicates(["a", "b"])
 
 
 def prune(pairs: DataFrame, classes: DataFrame, cfg: JaccardConfig) -> DataFrame:
@@ -245,11 +270,11 @@ def _gram_rows(n: int):
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, ids, sets, docs, pend = None, [], [], [], []
+        tile, ids, sets, pend = None, [], [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if ids and pend:
-                yield from _exact(ids, sets, docs, pend, threshold)
+                yield from _exact(ids, sets, pend, threshold)
 
         for batch in batches:
             key = batch.column(0).to_pylist()
@@ -259,11 +284,10 @@ def _verify(threshold: float):
             for s, e in zip(edges[:-1], edges[1:]):
                 if key[s] != tile:
                     yield from flush()
-                    tile, ids, sets, docs, pend = key[s], [], [], [], []
+                    tile, ids, sets, pend = key[s], [], [], []
                 if kind[s] == 0:
                     ids += a[s:e].tolist()
                     sets += [np.frombuffer(x.as_buffer(), np.uint64) if x.is_valid else np.zeros(0, np.uint64) for x in batch.column(4)[s:e]]
-                    docs.append(batch.column(5)[s:e])
                 else:
                     pend.append((a[s:e], b[s:e]))
         yield from flush()
@@ -271,13 +295,12 @@ def _verify(threshold: float):
     return run
 
 
-def _exact(ids: list[int], sets: list[np.ndarray], docs: list[pa.Array], pend: list, threshold: float) -> Iterator[pa.RecordBatch]:
+def _exact(ids: list[int], sets: list[np.ndarray], pend: list, threshold: float) -> Iterator[pa.RecordBatch]:
     """Verify the pairs of one tile with a dense mark per left-hand set."""
     order = np.argsort(np.array(ids, np.int64), kind="stable")
     known = np.array(ids, np.int64)[order]
     first = np.concatenate([[True], known[1:] != known[:-1]])
     order, known = order[first], known[first]
-    lists = pa.concat_arrays(docs).take(pa.array(order))
     size = np.array([len(sets[i]) for i in order])
     _, code = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
     bounds = np.concatenate([[0], np.cumsum(size)])
@@ -307,66 +330,93 @@ def _exact(ids: list[int], sets: list[np.ndarray], docs: list[pa.Array], pend: l
     for s in range(0, len(ja), 20_000):
         p, q = ja[s : s + 20_000], jb[s : s + 20_000]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(known[p]), pa.array(known[q]), lists.take(pa.array(p)), lists.take(pa.array(q)), pa.array(sim[s : s + 20_000])],
-            names=["a", "b", "docs_a", "docs_b", "jaccard"],
+            [pa.array(known[p]), pa.array(known[q]), pa.array(sim[s : s + 20_000])],
+            names=["a", "b", "jaccard"],
         )
 
 
-def verify(survivors: DataFrame, classes: DataFrame, docs: DataFrame, cfg: JaccardConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Exact similarity of surviving pairs: ``a, b, docs_a, docs_b, jaccard``."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def verify(survivors: DataFrame, classes: DataFrame, members: DataFrame, docs: DataFrame, cfg: JaccardConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Exact similarity of surviving pairs, stored: ``a, b, jaccard``."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     comps = materialize(connected_components(survivors), "groups")
-    tiles = comps.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(cfg.tile)).cast("int").alias("m"))
-    big = materialize(tiles.where("m > 1"), "tiles")
-    n_big = big.count()
-    node = comps.join(maybe_broadcast(big, n_big), "comp", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    node = comps.join(classes.select(F.col("fp").alias("node"), "size"), "node")
+    room = F.greatest(F.count("*") / F.lit(cfg.tile), F.sum(F.col("size").cast("bigint")) / F.lit(cfg.tile_grams))
+    big = materialize(node.groupBy("comp").agg(F.ceil(room).cast("int").alias("m")).where("m > 1"), "tiles")
+    node = node.join(maybe_broadcast(big, big.count()), "comp", "left").withColumn("m", F.coalesce("m", F.lit(1)))
     node = node.withColumn("block", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-    node = materialize(node.join(classes.select(F.col("fp").alias("node"), "docs"), "node").select("node", "comp", "m", "block", "docs"), "nodes")
+    reps = members.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("rep"))
+    node = materialize(node.join(reps, "node").select("node", "comp", "block", "rep"), "nodes")
     n_node = node.count()
-    reps = node.select(F.element_at("docs", 1).alias("rep"), F.col("node").alias("fp"))
     src = docs.select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    text = src.join(maybe_broadcast(reps, n_node), "rep").select("rep", "fp", "text")
+    text = src.join(maybe_broadcast(node.select("rep", F.col("node").alias("fp")), n_node), "rep").select("rep", "fp", "text")
     grams = map_arrow(text, _gram_rows(cfg.n), "fp bigint, grams binary")
-    place = node.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    place = place.withColumn("tile", F.struct("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
-    sets = place.join(grams.withColumnRenamed("fp", "node"), "node")
-    sets = sets.select("tile", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(0).cast("bigint").alias("b"), "grams", "docs")
     side = node.select("node", "comp", "block")
     pairs = survivors.join(maybe_broadcast(side.select(F.col("node").alias("a"), "comp", F.col("block").alias("ba")), n_node), "a")
     pairs = pairs.join(maybe_broadcast(side.select(F.col("node").alias("b"), F.col("block").alias("bb")), n_node), "b")
-    pairs = pairs.select(
-        F.struct("comp", F.least("ba", "bb").alias("i"), F.greatest("ba", "bb").alias("j")).alias("tile"),
-        F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("array<bigint>").alias("docs"),
-    )
-    rows = sets.unionByName(pairs).repartition(parts, "tile").sortWithinPartitions("tile", "kind")
-    return rows.mapInArrow(_verify(cfg.threshold), "a bigint, b bigint, docs_a array<bigint>, docs_b array<bigint>, jaccard double")
+    pairs = pairs.select(F.struct("comp", F.least("ba", "bb").alias("i"), F.greatest("ba", "bb").alias("j")).alias("tile"), "a", "b")
+    place = pairs.select("tile", F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = place.join(grams.withColumnRenamed("fp", "node"), "node")
+    sets = sets.select("tile", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(0).cast("bigint").alias("b"), "grams")
+    rows = sets.unionByName(pairs.select("tile", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("grams")))
+    rows = rows.repartition(parts, "tile").sortWithinPartitions("tile", "kind")
+    found = materialize(rows.mapInArrow(_verify(cfg.threshold), "a bigint, b bigint, jaccard double"), "pairs")
+    for done in (comps, big, node):
+        discard(done)
+    return found
 
 
 def class_pairs(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Stored classes and the verified pairs of different classes."""
-    classes = materialize(set_classes(docs, cfg, id_col, text_col), "classes")
-    survivors = materialize(prune(candidate_pairs(classes), classes, cfg), "survivors")
-    return classes, verify(survivors, classes, docs, cfg, id_col, text_col)
+    """Stored tables: ``doc_id, fp`` of every document, ``fp`` being its class; and the verified pairs of classes ``a, b, jaccard``."""
+    classes, members = set_classes(docs, cfg, id_col, text_col)
+    survivors = materialize(prune(candidate_pairs(classes, cfg), classes, cfg), "survivors")
+    pairs = verify(survivors, classes, members, docs, cfg, id_col, text_col)
+    discard(survivors)
+    discard(classes)
+    return members, pairs
+
+
+def _grouped(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Stored ``fp, n, class_id``: how many documents a class has and the smallest id among all those linked to it, at any remove."""
+    comps = connected_components(pairs.select("a", "b"))
+    sizes = members.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+    sizes = materialize(sizes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), "sizes")
+    least = sizes.groupBy("comp").agg(F.min("least").alias("class_id"))
+    return sizes.join(least, "comp").select("fp", "n", "class_id")
 
 
 def ngram_jaccard_join(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All pairs of documents whose word n-gram sets have Jaccard >= threshold.
+    """Near duplicates by word n-grams: ``doc_id, class_id, n_links`` of every document that has one.
+
+    A document is linked to every other whose n-gram set has Jaccard >= threshold
+    with its own; ``n_links`` counts them all, equal sets included. ``class_id`` is
+    the smallest id among the documents that links connect it with. The links
+    themselves, between sets instead of documents, are those of :func:`jaccard_links`.
+
+    Null and empty texts, and texts without a word, have no n-grams and no links;
+    rows with a null id are left out; a repeated row counts once, and an id with
+    several texts has a row a set; a text shorter than n words is one gram. Other
+    columns are not read. An empty table gives no rows. Search is approximate by
+    ``cfg``, each link is verified exactly.
+    """
+    members, pairs = class_pairs(docs, cfg, id_col, text_col)
+    classes = _grouped(members, pairs)
+    ends = pairs.select(F.col("a").alias("fp"), F.col("b").alias("to")).unionByName(pairs.select(F.col("b").alias("fp"), F.col("a").alias("to")))
+    links = ends.join(classes.select(F.col("fp").alias("to"), "n"), "to").groupBy("fp").agg(F.sum("n").alias("others"))
+    classes = classes.join(links, "fp", "left").select("fp", "class_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")).where("n_links > 0")
+    classes = materialize(classes, "linked")
+    return members.join(maybe_broadcast(classes, classes.count()), "fp").select("doc_id", "class_id", "n_links")
+
 
-    Result: ``docs_a, docs_b`` (sorted id lists) and ``jaccard``. A row says that
-    every document of ``docs_a`` and every one of ``docs_b`` have that
-    similarity; documents with one and the same set are one list, which also
-    stands once against itself, with 1.0, where it has two documents or more.
+def jaccard_links(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``doc_a, doc_b, jaccard`` of linked n-gram sets, each named by its smallest document; and ``doc_id, set_id`` of every document.
 
-    Null and empty texts, and texts without a word, have no n-grams and no
-    pairs; rows with a null id are left out; a repeated row counts once; a text
-    shorter than n words is one gram. Other columns are not read. An empty table
-    gives no rows. Search is approximate by ``cfg``; each reported value is exact.
+    Two documents are linked where their sets are, or are the same. Odd rows as in :func:`ngram_jaccard_join`.
     """
-    classes, pairs = class_pairs(docs, cfg, id_col, text_col)
-    same = classes.where(F.size("docs") > 1).select(F.col("docs").alias("docs_a"), F.col("docs").alias("docs_b"), F.lit(1.0).alias("jaccard"))
-    ordered = pairs.select(F.least("docs_a", "docs_b").alias("docs_a"), F.greatest("docs_a", "docs_b").alias("docs_b"), "jaccard")
-    return ordered.unionByName(same)
+    members, pairs = class_pairs(docs, cfg, id_col, text_col)
+    names = materialize(members.groupBy("fp").agg(F.min("doc_id").alias("set_id")), "names")
+    ends = names.select(F.col("fp").alias("a"), F.col("set_id").alias("doc_a")), names.select(F.col("fp").alias("b"), F.col("set_id").alias("doc_b"))
+    links = pairs.join(ends[0], "a").join(ends[1], "b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
+    return links, members.join(names, "fp").select("doc_id", "set_id")
 
 
 def with_class(docs: DataFrame, column: str, cfg: JaccardConfig = JaccardConfig(), text_col: str = "text") -> DataFrame:
@@ -389,9 +439,6 @@ def with_class(docs: DataFrame, column: str, cfg: JaccardConfig = JaccardConfig(
 
 def near_duplicate_drops(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp`` of every document but the smallest of its duplicate group; ``fp`` is its class, as of :func:`with_class`."""
-    classes, pairs = class_pairs(docs, cfg, id_col, text_col)
-    comps = connected_components(materialize(pairs.select("a", "b"), "edges"))
-    groups = classes.select("fp", F.explode("docs").alias("doc_id")).join(comps.withColumnRenamed("node", "fp"), "fp", "left")
-    groups = groups.withColumn("grp", F.coalesce("comp", "fp"))
-    first = groups.groupBy("grp").agg(F.min("doc_id").alias("keep"), F.count("*").alias("n")).where("n > 1")
-    return groups.join(first, "grp").where("doc_id <> keep").select("doc_id", "fp").distinct()
+    members, pairs = class_pairs(docs, cfg, id_col, text_col)
+    classes = _grouped(members, pairs)
+    return members.join(classes, "fp").where("doc_id <> class_id").select("doc_id", "fp").distinct()

@@ -72,17 +72,49 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("tile", [4096, 3])
-def test_jaccard_join_against_brute_force(spark, tile):
-    rows = corpus()
+@pytest.mark.parametrize("small", [{}, {"tile": 3}, {"bucket": 2, "tile_grams": 300}])
+def test_jaccard_join_against_brute_force(spark, small):
+    rows, cfg = corpus(), jaccard.JaccardConfig(**small)
     want = jaccard_pairs(rows, 3, 0.5)
-    got = {}
-    for r in jaccard.ngram_jaccard_join(make(spark, rows), jaccard.JaccardConfig(tile=tile)).collect():
-        for i, j in itertools.product(r.docs_a, r.docs_b):
-            if i != j:
-                got[min(i, j), max(i, j)] = r.jaccard
+    links, members = (x.collect() for x in jaccard.jaccard_links(make(spark, rows), cfg))
+    sets, got = {}, {}
+    for r in members:
+        sets.setdefault(r.set_id, []).append(r.doc_id)
+    assert len(members) == len(rows) and all(min(x) == i for i, x in sets.items())
+    for r in links:
+        assert r.doc_a < r.doc_b
+        got |= {(min(i, j), max(i, j)): r.jaccard for i, j in itertools.product(sets[r.doc_a], sets[r.doc_b])}
+    got |= {p: 1.0 for x in sets.values() for p in itertools.combinations(sorted(x), 2)}
     assert all(abs(want[p] - s) < 1e-9 for p, s in got.items())
-    assert len(got) >= 0.9 * len(want) and len(want) > 100
+    assert len(got) >= 0.95 * len(want) and len(want) > 100
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in got:
+        a, b = find(i), find(j)
+        parent[max(a, b)] = min(a, b)
+    degree = {i: sum(i in p for p in got) for i in parent}
+    found = [tuple(r) for r in jaccard.ngram_jaccard_join(make(spark, rows), cfg).collect()]
+    assert sorted(found) == sorted((i, find(i), n) for i, n in degree.items() if n)
+
+
+def test_jaccard_join_of_a_large_bucket(spark):
+    base = prose("hot", 60).split()
+    rows = [(i, " ".join([*base[:k], f"x{i}", *base[k:]])) for i in range(90) for k in [i % 60]] + [(500 + i, " ".join(base)) for i in range(40)]
+    want = jaccard_pairs(rows, 3, 0.5)
+    found = jaccard.ngram_jaccard_join(make(spark, rows), jaccard.JaccardConfig(bucket=8, tile=16)).collect()
+    assert {r.doc_id for r in found} == {i for i, _ in rows} and {r.class_id for r in found} == {0}
+    assert sum(r.n_links for r in found) >= 2 * 0.98 * len(want)
+
+
+def test_jaccard_join_of_repeated_ids(spark):
+    a, b = prose("one", 40), prose("two", 40)
+    found = jaccard.ngram_jaccard_join(make(spark, [(5, a), (5, b), (5, b), (7, a), (3, b), (9, prose("three", 40)), (None, a)])).collect()
+    assert sorted(map(tuple, found)) == [(3, 3, 1), (5, 3, 1), (5, 5, 1), (7, 5, 1)]
 
 
 def test_jaccard_join_of_odd_rows(spark):
