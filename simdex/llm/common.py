@@ -21,10 +21,12 @@ BATCH_BYTES, BATCH_ROWS = 8 << 20, 4000
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine) a local one is set.
+    Where the session names none, one machine alone gets a local one; a cluster an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), f"simdex-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -74,8 +76,11 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
 
 
 def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches, where the session's are larger or have no bound."""
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
     for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
-        if int(str(spark.conf.get(key)).rstrip("bB")) > most:
+        now = str(spark.conf.get(key)).strip()
+        if now.startswith("-") or not 0 < size(now) <= most:
             spark.conf.set(key, str(most))
 
 

@@ -144,11 +144,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConf
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at, out = [], {"begin_char": [], "end_char": [], "n_words": [], "items": []}
         for first, _, data, offs in tc.chunks(batch.column(1), _SHARD):
-            for row, b, e, n, items in shard_spans(shared.value, cfg, data, offs):
-                base = int(offs[row])
+            found = shard_spans(shared.value, cfg, data, offs)
+            chars = char_places(data) if found else None
+            for row, b, e, n, items in found:
+                base = chars[offs[row]]
                 at.append(first + row)
-                out["begin_char"].append(_chars(data[base:b]))
-                out["end_char"].append(_chars(data[base:e]))
+                out["begin_char"].append(int(chars[b] - base))
+                out["end_char"].append(int(chars[e] - base))
                 out["n_words"].append(n)
                 out["items"].append(items)
         if at:
@@ -160,8 +162,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConf
     return map_arrow(src, run, "doc_id bigint, begin_char bigint, end_char bigint, n_words int, items array<bigint>")
 
 
-def _chars(data: np.ndarray) -> int:
-    return int(((data & 0xC0) != 0x80).sum())
+def char_places(data: np.ndarray) -> np.ndarray:
+    """Characters before each byte of a chunk, and before its end."""
+    return np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConfig(), text_col: str = "text", chars_col: str = "n_chars", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -273,7 +273,8 @@ def fit(docs: DataFrame, cfg: LangConfig = LangConfig(), id_col: str = "doc_id",
     edge = [r[0] for r in labelled.select(key.alias("k")).orderBy("k").limit(cfg.sample).collect()]
     if not edge:
         return None
-    rows = labelled.where(key <= edge[-1]).select(key.alias("k"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).limit(cfg.sample).collect()
+    rows = labelled.where(key <= edge[-1]).select(key.alias("k"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
+    rows = rows.orderBy("k", "l", "t").limit(cfg.sample).collect()
     return train([(r.l, r.t) for r in sorted(rows, key=lambda r: (r.k, r.l, r.t))], cfg)
 
 
@@ -312,7 +313,10 @@ def identify_languages(docs: DataFrame, cfg: LangConfig = LangConfig(), id_col:
 
 
 def drop_unidentified(docs: DataFrame, cfg: LangConfig = LangConfig(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that :func:`identify_languages` keeps, all columns unchanged."""
+    """The rows of ``docs`` that :func:`identify_languages` keeps, all columns unchanged.
+
+    Null and empty texts go; repeated rows stay or go together; an empty table stays empty.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, cfg, id_col, text_col, lang_col))
     at = docs.columns.index(text_col)
 

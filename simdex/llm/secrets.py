@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .common import map_arrow
-from .decontaminate import _chars, replace_texts
+from .decontaminate import char_places, replace_texts
 
 
 def _members(chars: str) -> np.ndarray:
@@ -71,19 +71,28 @@ class SecretConfig:
     mark: str = "[SECRET]"
 
 
+#: Windows of a span that one row of the sliding table goes through.
+_PIECE = 256
+
+
 def window_entropy(data: np.ndarray, start: np.ndarray, end: np.ndarray, window: int) -> np.ndarray:
     """Largest entropy in bits over the windows of each span.
 
-    A span shorter than the window is one window of its own length.
+    A span shorter than the window is one window of its own length. Long spans are
+    slid over in pieces side by side, which overlap so that no window is cut.
     """
-    best = np.zeros(len(start))
     size = end - start
-    order = np.argsort(-size, kind="stable")
+    pieces = np.maximum(1, -(-(size - window + 1) // _PIECE))
+    span = np.repeat(np.arange(len(start)), pieces)
+    skip = (np.arange(len(span)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * _PIECE
+    begin, length = start[span] + skip, np.minimum(size[span] - skip, _PIECE + window - 1)
+    bits = np.zeros(len(span))
+    order = np.argsort(-length, kind="stable")
     part = 4096
     for s in range(0, len(order), part):
         pick = order[s : s + part]
-        best[pick] = _slide(data, start[pick], size[pick], window)
-    return best
+        bits[pick] = _slide(data, begin[pick], length[pick], window)
+    return np.maximum.reduceat(bits, np.cumsum(pieces) - pieces) if len(start) else bits
 
 
 def _slide(data: np.ndarray, start: np.ndarray, size: np.ndarray, window: int) -> np.ndarray:
@@ -176,10 +185,12 @@ def find_secrets(docs: DataFrame, cfg: SecretConfig = SecretConfig(), id_col: st
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at, cols = [], ([], [], [], [])
         for first, _, data, offs in tc.chunks(batch.column(1)):
-            for row, b, e, kind, bits in scan_chunk(data, offs, cfg):
-                base = int(offs[row])
+            found = scan_chunk(data, offs, cfg)
+            chars = char_places(data) if found else None
+            for row, b, e, kind, bits in found:
+                base = chars[offs[row]]
                 at.append(first + row)
-                for c, v in zip(cols, (_chars(data[base:b]), _chars(data[base:e]), kind, round(bits, 6))):
+                for c, v in zip(cols, (int(chars[b] - base), int(chars[e] - base), kind, round(bits, 6))):
                     c.append(v)
         if at:
             yield pa.RecordBatch.from_arrays(
@@ -194,6 +205,8 @@ def redact_secrets(docs: DataFrame, cfg: SecretConfig = SecretConfig(), text_col
     """``docs`` with ``cfg.mark`` in the place of every secret; all rows stay.
 
     ``chars_col``, where there is one, is counted anew in the rows that change.
+    Null and empty texts and texts without a secret are unchanged, repeated rows
+    are treated alike, an empty table stays empty; other columns aren't read.
     """
     at = docs.columns.index(text_col)
     chars = docs.columns.index(chars_col) if chars_col in docs.columns else None

@@ -1,5 +1,7 @@
+import base64
 import itertools
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -240,3 +242,24 @@ def test_local_forest_keeps_components():
         parent[max(x, y)] = min(x, y)
     got = dict(zip(child.tolist(), root.tolist()))
     assert all(got.get(x, x) == find(x) for x in set(a.tolist()) | set(b.tolist()))
+
+
+def test_entropy_of_a_span_of_many_pieces():
+    rng = np.random.default_rng(9)
+    data = rng.integers(97, 101, 3000).astype(np.uint8)
+    data[2047:2067] = np.arange(65, 85)
+    got = secrets.window_entropy(data, np.array([0, 5, 40]), np.array([3000, 2066, 300]), 20)
+
+    def bits(s):
+        p = np.bincount(s) / len(s)
+        return -(p[p > 0] * np.log2(p[p > 0])).sum()
+
+    for (s, e), g in zip(((0, 3000), (5, 2066), (40, 300)), got):
+        assert abs(g - max(bits(data[i : i + 20]) for i in range(s, e - 19))) < 1e-9
+
+
+def test_a_very_long_run_is_scanned_in_a_moment():
+    run = base64.b64encode(np.random.default_rng(0).bytes(750_000))
+    began = time.process_time()
+    found = secrets.scan_chunk(np.frombuffer(run, np.uint8), np.array([0, len(run)]), secrets.SecretConfig())
+    assert found[0][1] < 64 and found[-1][2] > len(run) - 64 and time.process_time() - began < 6

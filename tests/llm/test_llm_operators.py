@@ -14,7 +14,7 @@ import zstandard as zstd
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from simdex.llm import chat, decontaminate, imatch, jaccard, langid, mixing, pii, secrets, tokens, toxicity, warc
+from simdex.llm import chat, common, decontaminate, imatch, jaccard, langid, mixing, pii, secrets, tokens, toxicity, warc
 from simdex.llm.components import connected_components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -350,3 +350,13 @@ def test_pipeline_of_odd_rows(spark, tmp_path, rows):
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         counts.append(docs.count())
     assert counts[:4] == ([5, 4, 4, 4] if rows == "odd" else [0, 0, 0, 0]) and json.dumps(counts)
+
+
+def test_batch_bounds_read_every_setting(spark):
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    for key, said, want in ((size, "64m", str(common.BATCH_BYTES)), (rows, "-1", str(common.BATCH_ROWS)), (rows, "0", str(common.BATCH_ROWS)), (size, "1m", "1048576"), (size, "4096b", "4096")):
+        old = spark.conf.get(key)
+        spark.conf.set(key, said)
+        common.bound_batches(spark)
+        assert spark.conf.get(key).rstrip("b") in (want, said)
+        spark.conf.set(key, old)
