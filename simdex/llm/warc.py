@@ -20,11 +20,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import bound_batches, materialize, shared_dir
 
 _DICT_MAGIC = 0x184D2A5D
 _FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
-_READ = 1 << 18
+#: Bytes read at a time, and given to the decoder at a time: a frame of a few bytes can decode to a thousand times as many.
+_READ, _FEED = 1 << 18, 1 << 12
+#: Bytes that a record may have; a larger one has a status instead of a block.
+MOST_BYTES = 1 << 30
 _REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
 
@@ -51,8 +54,12 @@ def read_dictionary(head: bytes) -> tuple[bytes | None, int]:
     return raw, 8 + size
 
 
-def frames(stream: BinaryIO) -> Iterator[bytes]:
-    """Decoded frames of an archive, one after the other."""
+def frames(stream: BinaryIO, most: int = MOST_BYTES) -> Iterator[bytes | WarcError]:
+    """Decoded frames of an archive, one after the other.
+
+    A frame that decodes to more than ``most`` bytes is decoded to its end but not
+    kept; an error stands in its place.
+    """
     head = stream.read(8)
     if len(head) == 8 and struct.unpack("<I", head[:4])[0] == _DICT_MAGIC:
         head += stream.read(struct.unpack("<I", head[4:])[0])
@@ -70,18 +77,23 @@ def frames(stream: BinaryIO) -> Iterator[bytes]:
             rest += more
         if rest[:4] != _FRAME_MAGIC:
             raise WarcError("no zstd frame where one must begin")
-        one, parts = dec.decompressobj(), []
+        one, parts, size = dec.decompressobj(), [], 0
         while not one.eof:
             if not rest:
                 rest = stream.read(_READ)
                 if not rest:
                     raise WarcError("the last frame is cut short")
             try:
-                parts.append(one.decompress(rest))
+                part = one.decompress(rest[:_FEED])
             except zstd.ZstdError as e:
                 raise WarcError(f"frame can't be decoded: {e}") from e
-            rest = one.unused_data if one.eof else b""
-        yield b"".join(parts)
+            size += len(part)
+            if size <= most:
+                parts.append(part)
+            else:
+                parts.clear()
+            rest = one.unused_data + rest[_FEED:] if one.eof else rest[_FEED:]
+        yield b"".join(parts) if size <= most else WarcError(f"the record has {size} bytes, more than {most}")
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -106,8 +118,11 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     missing = [h for h in _REQUIRED if h not in headers]
     if missing:
         raise WarcError(f"missing {', '.join(missing)}")
-    if not headers["content-length"].isascii() or not headers["content-length"].isdigit():
-        raise WarcError("Content-Length is not a number")
+    if not re.fullmatch(r"[0-9]{1,18}", headers["content-length"]):
+        raise WarcError("Content-Length is not a number of at most 18 digits")
+    page = headers.get("x-page-id", "")
+    if re.fullmatch(r"-?[0-9]+", page) and (len(page) > 20 or not -(1 << 63) <= int(page) < 1 << 63):
+        raise WarcError("X-Page-Id has more than 64 bits")
     size = int(headers["content-length"])
     if block[size:] != b"\r\n\r\n":
         raise WarcError(f"Content-Length is {size}, the block has {len(block) - 4} bytes or does not end the frame")
@@ -121,8 +136,8 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 _OUT = pa.schema([("path", pa.string()), ("seq", pa.int64()), ("warc_type", pa.string()), ("record_id", pa.string()), ("uri", pa.string()), ("page_id", pa.int64()), ("block", pa.binary()), ("block_length", pa.int64()), ("status", pa.string())])
 
 
-def _records(path: str, stream: BinaryIO) -> Iterator[tuple]:
-    seq, decoded = 0, frames(stream)
+def _records(path: str, stream: BinaryIO, most: int = MOST_BYTES) -> Iterator[tuple]:
+    seq, decoded = 0, frames(stream, most)
     while True:
         try:
             data = next(decoded)
@@ -132,21 +147,23 @@ def _records(path: str, stream: BinaryIO) -> Iterator[tuple]:
             yield path, seq, None, None, None, None, None, None, str(e)
             return
         try:
+            if isinstance(data, WarcError):
+                raise data
             h, block = parse_record(data)
             page = h.get("x-page-id", "")
-            yield path, seq, h["warc-type"], h["warc-record-id"], h.get("warc-target-uri"), int(page) if re.fullmatch(r"-?\d+", page) else None, block, len(block), "ok"
+            yield path, seq, h["warc-type"], h["warc-record-id"], h.get("warc-target-uri"), int(page) if re.fullmatch(r"-?[0-9]+", page) else None, block, len(block), "ok"
         except WarcError as e:
             yield path, seq, None, None, None, None, None, None, str(e)
         seq += 1
 
 
-def read_archives(paths: DataFrame, path_col: str = "path") -> DataFrame:
+def read_archives(paths: DataFrame, path_col: str = "path", most: int = MOST_BYTES) -> DataFrame:
     """Records of the archives named in ``paths``, each file read by one task.
 
     ``path, seq, warc_type, record_id, uri, page_id, block, block_length, status``:
     an invalid record gives a row whose ``status`` says why, the other columns
-    null; a broken frame ends its file with such a row, as frames can't be found
-    again. Null paths are left out, a path named twice is read twice, an empty
+    null, and so does one of more than ``most`` bytes; a broken frame ends its file
+    with such a row, as frames can't be found again. Null paths are left out, a path named twice is read twice, an empty
     table or archive gives no rows.
     """
 
@@ -156,7 +173,7 @@ def read_archives(paths: DataFrame, path_col: str = "path") -> DataFrame:
                 where, name = _filesystem(path)
                 with where.open_input_stream(name, compression=None) as stream:
                     rows, size = [], 0
-                    for row in _records(path, stream):
+                    for row in _records(path, stream, most):
                         rows.append(row)
                         size += len(row[6] or b"") + 200
                         if size > 8 << 20:
@@ -166,6 +183,7 @@ def read_archives(paths: DataFrame, path_col: str = "path") -> DataFrame:
                         yield _to_batch(rows)
 
     ddl = "path string, seq bigint, warc_type string, record_id string, uri string, page_id bigint, block binary, block_length bigint, status string"
+    bound_batches(paths.sparkSession)
     return paths.select(F.col(path_col).cast("string").alias("path")).where("path is not null").mapInArrow(run, ddl)
 
 
@@ -184,15 +202,16 @@ def encode_record(page_id: int | None, url: str | None, block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def archive_bytes(records: list[bytes], dict_size: int = 16384, level: int = 3) -> bytes:
-    """A whole archive; the dictionary is left out where there is too little to learn from."""
-    raw = b""
-    if len(records) >= 64:
-        step = max(1, len(records) // 1000)
-        try:
-            raw = zstd.train_dictionary(dict_size, [r[:8192] for r in records[::step]]).as_bytes()
-        except zstd.ZstdError:
-            raw = b""
+def archive_bytes(records: list[bytes], dict_size: int = 16384, level: int = 3, sample: int = 1000) -> bytes:
+    """A whole archive of ``records``, all of them whole.
+
+    The dictionary is trained on ``sample`` records at even distances; where the
+    trainer finds too little to learn from there is none.
+    """
+    try:
+        raw = zstd.train_dictionary(dict_size, records[:: max(1, len(records) // sample)]).as_bytes()
+    except zstd.ZstdError:
+        raw = b""
     if not raw:
         comp = zstd.ZstdCompressor(level=level)
         return b"".join(comp.compress(r) for r in records)
@@ -236,6 +255,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             yield flush()
 
     src = pages.select(F.col(id_col).cast("bigint"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
+    bound_batches(pages.sparkSession)
     return src.mapInArrow(run, "path string, records bigint")
 
 

@@ -294,6 +294,18 @@ def test_archive_frames_and_faults(spark, tmp_path):
     assert by["cut"][-1].status != "ok" and all(r.status == "ok" for r in by["cut"][:-1]) and len(by["cut"]) > 10
 
 
+def test_archive_numbers_and_sizes_out_of_range(spark, tmp_path):
+    rec, z = warc.encode_record(5, "http://x/5", b"body"), zstd.ZstdCompressor()
+    far = [rec.replace(b"X-Page-Id: 5", b"X-Page-Id: " + n) for n in (b"9" * 20, b"9223372036854775808", b"-9223372036854775809", b"9" * 6000)]
+    odd = [rec.replace(b"Content-Length: 4", b"Content-Length: " + b"4" * 5000), rec.replace(b"Content-Length: 4", "Content-Length: ٤".encode())]
+    last = rec.replace(b"X-Page-Id: 5", b"X-Page-Id: -9223372036854775808")
+    bomb = warc.encode_record(6, None, b"\0" * 3_000_000)
+    (tmp_path / "far.warc.zst").write_bytes(b"".join(map(z.compress, [*far, *odd, bomb, last, rec])))
+    rows = warc.read_archives(spark.createDataFrame([(str(tmp_path / "far.warc.zst"),)], "path string"), most=1_000_000).collect()
+    assert [r.status == "ok" for r in rows] == [False] * 7 + [True] * 2 and [r.page_id for r in rows[-2:]] == [-(2**63), 5]
+    assert "more than 1000000" in rows[6].status and all("X-Page-Id" in r.status for r in rows[:4])
+
+
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     items = [(1, prose("bench", 20))]
     rows = corpus() + [(900, prose("p", 30) + " " + items[0][1] + " tail"), (901, f'token = "{TOKEN}" ' + prose("q", 25)), (902, "!!!")]
