@@ -48,10 +48,13 @@ _WORD = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class PiiConfig:
-    """``samples`` examples a kind are synthesised; a third of them calibrates."""
+    """``samples`` examples a kind are synthesised; a third of them calibrates.
+
+    A kind's threshold is the lowest score of a true candidate that keeps ``precision``.
+    """
 
     samples: int = 900
-    trees: int = 60
+    trees: int = 150
     depth: int = 3
     precision: float = 0.98
     context: int = 48
@@ -75,6 +78,7 @@ def features(text: str, span: tuple[int, int, str], others: int, reach: int) ->
     b, e, kind = span
     s = text[b:e]
     digits = re.sub(r"\D", "", s)
+    groups = [len(g) for g in re.findall(r"\d+", s)]
     left, right = text[max(0, b - reach) : b], text[e : e + reach // 2]
     before = [w.lower() for w in _WORD.findall(left)[-5:]]
     octets = [int(x) for x in s.split(".")] if kind == "ip" else []
@@ -94,6 +98,7 @@ def features(text: str, span: tuple[int, int, str], others: int, reach: int) ->
         max(octets, default=0), float(kind == "email" and "." in host), float(bool(re.search(r"\.[A-Za-z]{2,}$", host))) * (kind == "email"),
         iban_ok, float(any(w in _FOR[kind] for w in before)), float(any(w in _AGAINST for w in before[-2:])), float(bool(re.search(r"[#$€£=/\\_]\s?$", left))),
         float(left[-1:].isalnum()), float(right[:1].isalnum()), float(bool(re.match(r"[.,:/]\d", right))), float(bool(re.search(r"\d[.,:/\-]$", left))), float(others),
+        len(groups), max(groups, default=0), min(groups, default=0), groups[-1] if groups else 0, groups[0] if groups else 0, float(bool(re.match(r"[ .\-]?\d", right))), float(bool(re.search(r"\d[ .\-]?$", left))),
     ]
 
 
@@ -114,27 +119,35 @@ def _example(rng: np.random.Generator, kind: str, positive: bool) -> tuple[str,
     elif kind == "phone":
         sep = rng.choice(["-", " ", "."])
         if positive:
-            s = [f"+{rng.integers(1, 99)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", sep.join(["+" + str(rng.integers(1, 99)), num(3), num(3), num(4)]), f"{num(3)}{sep}{num(3)}{sep}{num(4)}", f"+{rng.integers(30, 60)} {num(2)} {num(8)}"][rng.integers(5)]
+            s = [f"+{rng.integers(1, 99)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", sep.join(["+" + str(rng.integers(1, 99)), num(3), num(3), num(4)]), f"{num(3)}{sep}{num(3)}{sep}{num(4)}", f"+{rng.integers(30, 60)} {num(2)} {num(8)}", sep.join([rng.choice(["0", f"+{rng.integers(30, 60)} "]) + num(1), *(num(2) for _ in range(4))]), f"0{num(2)} {num(4)} {num(4)}", f"0{num(int(rng.integers(2, 5)))}{rng.choice([' ', '-'])}{num(int(rng.integers(6, 9)))}"][rng.integers(8)]
         else:
-            s = [f"{num(2)} {num(3)}", f"20{num(2)}-{num(2)}-{num(2)}", num(int(rng.integers(4, 10))), f"{num(1)}.{num(2)}", num(16), f"{num(4)} {num(2)} {num(2)}", f"{num(3)}-{num(3)}"][rng.integers(7)]
+            s = [f"{num(2)} {num(3)}", f"20{num(2)}-{num(2)}-{num(2)}", num(int(rng.integers(4, 10))), f"{num(1)}.{num(2)}", next(n for n in iter(lambda: num(16), "") if not luhn(n)), f"{num(4)} {num(2)} {num(2)}", f"{num(3)}-{num(3)}"][rng.integers(7)]
     elif kind == "ip":
-        s = ".".join(str(x) for x in rng.integers(0 if rng.random() < 0.2 else 1, 256, 4)) if positive else [".".join(str(x) for x in rng.integers(200, 999, 4)), "127.0.0.1", "0.0.0.0", "255.255.255.255", ".".join(str(x) for x in rng.integers(0, 12, 4))][rng.integers(5)]
+        low = rng.random() < 0.3
+        s = ".".join(str(x) for x in rng.integers(0 if rng.random() < 0.2 else 1, 20 if low else 256, 4)) if positive else [".".join(str(x) for x in rng.integers(200, 999, 4)), "127.0.0.1", "0.0.0.0", "255.255.255.255", ".".join(str(x) for x in rng.integers(0, 12, 4))][rng.integers(5)]
     elif kind == "card":
-        body = (str(rng.choice(list("3456"))) if rng.random() < 0.7 else num(1)) + num(14)
+        few = rng.choice(list("0123456789"), rng.integers(1, 4)) if rng.random() < 0.3 else list("0123456789")  # round numbers among them
+        amex = rng.random() < 0.15
+        body = str(rng.choice(["34", "37"])) + "".join(rng.choice(few, 12)) if amex else (str(rng.choice(list("3456"))) if rng.random() < 0.8 else num(1)) + "".join(rng.choice(few, 14))
         check = next(c for c in "0123456789" if luhn(body + c))
         s = body + (check if positive else str((int(check) + rng.integers(1, 10)) % 10))
         if rng.random() < 0.3:
-            s = " ".join(s[i : i + 4] for i in range(0, 16, 4))
+            s = str(rng.choice([" ", "-"])).join([s[:4], s[4:10], s[10:]] if amex else [s[i : i + 4] for i in range(0, 16, 4)])
     elif kind == "ssn":
-        s = f"{num(3)}-{num(2)}-{num(4)}" if positive else f"{num(3)} {num(2)} {num(4)}"
+        spaced = positive and rng.random() < 0.2
+        s = f"{num(3)}-{num(2)}-{num(4)}" if positive and not spaced else f"{num(3)} {num(2)} {num(4)}"
     else:
-        country, plain = str(rng.choice(["DE", "FR", "ES", "GB"])), num(int(rng.integers(16, 20)))
+        country, plain = str(rng.choice(["DE", "FR", "ES", "GB", "IT", "NL"])), num(int(rng.integers(14, 20)))
+        if rng.random() < 0.5:
+            plain = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), 4)) + plain[4:]
         body = int("".join(str(int(c, 36)) for c in plain + country + "00"))
         check = (98 - body % 97) if positive else (98 - body % 97 + rng.integers(1, 90)) % 97
         s = f"{country}{check:02d}{plain}"
+        if rng.random() < 0.5:
+            s = " ".join(s[i : i + 4] for i in range(0, len(s), 4))
     cue = ""
-    if positive and rng.random() < 0.25:
-        cue = str(rng.choice(_FOR[kind])) + str(rng.choice([": ", " ", " is "]))
+    if positive and (rng.random() < 0.25 or kind == "ip" and low or kind == "ssn" and spaced):
+        cue = str(rng.choice(_FOR[kind])) + str(rng.choice([": ", " ", " is ", ". "]))
     elif not positive and rng.random() < 0.4 or positive is False and kind == "ip" and s.count(".") == 3 and max(map(int, s.split("."))) < 12:
         cue = str(rng.choice(_AGAINST)) + str(rng.choice([": ", " ", " #"]))
     left = " ".join(word() for _ in range(rng.integers(0, 7)))
@@ -185,11 +198,10 @@ def train(cfg: PiiConfig = PiiConfig()) -> PiiModel:
     for i, name in enumerate(KINDS):
         own = kind[fold] == i
         order = np.argsort(-p[own])
-        hit = np.cumsum(y[fold][own][order])
-        prec = hit / np.arange(1, own.sum() + 1)
-        ok = np.flatnonzero(prec >= cfg.precision)
-        at = int(ok[-1]) if len(ok) else 0
-        model.thresholds[name] = float(max(0.3, min(p[own][order][at], 0.9)))
+        true = y[fold][own][order] > 0
+        hit, miss = np.cumsum(true), np.cumsum(~true)
+        ok = np.flatnonzero(true & (hit >= cfg.precision * (hit + miss)))
+        model.thresholds[name] = float(p[own][order][ok[-1]]) if len(ok) else 1.0
         chosen = p[own] >= model.thresholds[name]
         truth = y[fold][own] > 0
         model.held_out[name] = (float((chosen & truth).sum() / max(1, chosen.sum())), float((chosen & truth).sum() / max(1, truth.sum())))
