@@ -2,10 +2,11 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from simdex.llm import imatch, jaccard, pii, toxicity
+from simdex.llm import imatch, jaccard, mixing, pii, toxicity
 from simdex.llm import textcore as tc
 
 
@@ -251,3 +252,38 @@ def test_pii_query_against_brute_force(spark):
             left = [o for o in left if o[1] >= -e or -o[2] <= b]
     got = [tuple(r) for r in pii.find_pii(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and len(got) > 40
+
+
+def test_budgets_of_any_size_are_fitted_alike():
+    rng = np.random.default_rng(10)
+    for budget_share in (0.001, 0.01, 0.1, 0.5, 0.9, 0.999):
+        lengths = np.sort(rng.choice(np.arange(3, 9000), 700, replace=False))
+        counts = rng.integers(1, 6, 700)
+        total = int((lengths * counts).sum())
+        take = mixing.fit_budget(lengths, counts, int(total * budget_share))
+        assert (take >= 0).all() and (take <= counts).all()
+        short = int(total * budget_share) - (take * lengths).sum()
+        assert short == 0 if budget_share <= 0.9 else 0 <= short < 100  # hardly a document is left out
+        if 0.05 < budget_share < 0.95:
+            long = lengths > 4500
+            share = [(take * lengths)[x].sum() / (counts * lengths)[x].sum() for x in (long, ~long)]
+            assert abs(share[0] - share[1]) < 0.1
+    even = mixing.fit_budget(np.array([4, 6, 10]), np.array([50, 50, 50]), 333)
+    assert (even * [4, 6, 10]).sum() == 332
+
+
+@pytest.mark.parametrize("bin", [2, 7, 1000])
+def test_draw_against_a_sort(spark, bin):
+    rows = [(i % 40 if i % 3 else None if i % 2 else 7, "ab"[i % 5 == 0], 5 + i % 3) for i in range(300)]
+    counted = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    size = {(s, n): sum(r[1:] == (s, n) for r in rows) for _, s, n in rows}
+    take = {k: v * (j + 1) // (len(size) + 1) for j, (k, v) in enumerate(sorted(size.items()))}
+    cfg = mixing.MixConfig(bin=bin)
+    quota = spark.createDataFrame([(s, n, size[s, n], t, -(-size[s, n] // bin)) for (s, n), t in take.items() if t], "source string, n_tokens bigint, n bigint, take bigint, bins bigint")
+    hashed = {r.doc_id: r.h for r in counted.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit(cfg.seed)).alias("h")).distinct().collect()}
+    want = []
+    for (s, n), t in take.items():
+        own = sorted((r for r in rows if r[1:] == (s, n)), key=lambda r: (hashed[r[0]], r[0] is not None, r[0] or 0))
+        want += own[:t]
+    got = [tuple(r) for r in mixing.draw(counted, quota, cfg).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
