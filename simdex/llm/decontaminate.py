@@ -1,14 +1,16 @@
 """Benchmark passages in training documents, by an FM-index per training shard.
 
-Each task indexes the words of its rows as it reads them, so no text is
-shuffled. The benchmark's word n-grams are searched backward, located and merged
-into spans. A word that the benchmark doesn't have separates, and a run between
-separators that is shorter than every test phrase is left out of the index: it
-can't hold one.
+Each task indexes all words of its rows as it reads them, so no text is
+shuffled; a shard's distinct words are its alphabet, and rows are separated. The
+benchmark's word n-grams are searched backward, located and merged into spans.
+They are worked out by the cluster and taken to the tasks in blocks of bounded
+size, one after the other.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,84 +20,135 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import map_arrow
+from .common import discard, filesystem, map_arrow, materialize, shared_dir
 from .fmindex import FMIndex
 
 
 @dataclass(frozen=True)
 class LeakConfig:
-    """``n`` words make a test phrase; an item of ``least``..n-1 words is one phrase, a shorter one none."""
+    """``n`` words make a test phrase; an item of ``least``..n-1 words is one phrase, a shorter one none: such words are no sign of a leak.
+
+    ``block`` phrases are in a task's memory at a time.
+    """
 
     n: int = 8
     least: int = 5
     sample: int = 16
+    block: int = 200_000
 
 
 @dataclass
 class Phrases:
-    """Distinct test phrases as right-aligned symbols, with the items that hold them."""
+    """Distinct test phrases as right-aligned word hashes, with the items that hold them."""
 
-    vocabulary: np.ndarray
     patterns: np.ndarray
     lengths: np.ndarray
     items: np.ndarray
     bounds: np.ndarray
 
 
-def build_phrases(items: list[tuple[int, str | None]], cfg: LeakConfig) -> Phrases:
-    text = pa.array([t for _, t in items], pa.large_string()).cast(pa.large_binary())
-    found: dict[tuple[int, ...], set[int]] = {}
-    for first, count, data, offs in tc.chunks(text):
-        w = tc.words(data, offs)
-        for r in range(count):
-            h = w.hash[w.bounds[r] : w.bounds[r + 1]].tolist()
-            if len(h) < cfg.least:
-                continue
-            for k in range(max(1, len(h) - cfg.n + 1)):
-                found.setdefault(tuple(h[k : k + cfg.n]), set()).add(items[first + r][0])
-    vocabulary = np.unique(np.array([x for p in found for x in p], np.uint64))
-    lengths = np.array([len(p) for p in found], np.int64)
-    patterns = np.zeros((len(found), cfg.n), np.int64)
-    for i, p in enumerate(found):
-        patterns[i, cfg.n - len(p) :] = np.searchsorted(vocabulary, np.array(p, np.uint64)) + 1
-    owner = [sorted(x) for x in found.values()]
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in owner])]).astype(np.int64)
-    return Phrases(vocabulary, patterns, lengths, np.array([x for o in owner for x in o], np.int64), bounds)
-
-
-def shard_spans(phrases: Phrases, cfg: LeakConfig, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, list[int]]]:
+@dataclass
+class Suite:
+    """Blocks of phrases: one that is held, or files that are read one at a time."""
+
+    held: Phrases | None = None
+    paths: tuple[str, ...] = ()
+
+    def __iter__(self) -> Iterator[Phrases]:
+        if self.held is not None:
+            yield self.held
+        for path in self.paths:
+            where, name = filesystem(path)
+            with where.open_input_stream(name) as f:
+                yield pickle.loads(f.read())
+
+
+def _phrase_rows(cfg: LeakConfig):
+    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for first, count, data, offs in tc.chunks(batch.column(1)):
+            w = tc.words(data, offs)
+            size = np.diff(w.bounds)
+            take = np.where(size >= cfg.least, np.maximum(size - cfg.n + 1, 1), 0)
+            row = np.repeat(np.arange(count), take)
+            begin = w.bounds[row] + np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)
+            length = np.minimum(cfg.n, w.bounds[row + 1] - begin)
+            at = np.repeat(begin, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(tc.signed(w.hash[at])))
+            yield pa.RecordBatch.from_arrays([lists, batch.column(0).take(pa.array(first + row))], names=["phrase", "item"])
+
+    return rows
+
+
+def phrase_table(benchmark: DataFrame, cfg: LeakConfig, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``phrase, items``: distinct phrases as word hashes, and the items that hold them, in order."""
+    src = benchmark.select(F.col(item_id).cast("bigint").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null")
+    rows = map_arrow(src, _phrase_rows(cfg), "phrase array<bigint>, item bigint")
+    return rows.groupBy("phrase").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
+def _block(rows: pa.Table, n: int) -> Phrases:
+    phrase, items = rows.column("phrase").combine_chunks(), rows.column("items").combine_chunks()
+    lengths = np.diff(phrase.offsets.to_numpy()).astype(np.int64)
+    patterns = np.zeros((len(lengths), n), np.uint64)
+    col = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    patterns[np.repeat(np.arange(len(lengths)), lengths), np.repeat(n - lengths, lengths) + col] = phrase.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    return Phrases(patterns, lengths, items.flatten().to_numpy(zero_copy_only=False), (items.offsets.to_numpy() - items.offsets[0].as_py()).astype(np.int64))
+
+
+def build_suite(benchmark: DataFrame, cfg: LeakConfig, item_id: str = "item_id", item_text: str = "text") -> Suite:
+    """The benchmark's phrases in blocks of about ``cfg.block``, by a hash where they are more."""
+    spark = benchmark.sparkSession
+    found = materialize(phrase_table(benchmark, cfg, item_id, item_text), "phrases")
+    count = found.count()
+    if count <= cfg.block:
+        suite = Suite(_block(found.toArrow(), cfg.n)) if count else Suite()
+    else:
+        blocks, folder, paths = -(-count // cfg.block), f"{shared_dir(spark).rstrip('/')}/phrases-{uuid.uuid4().hex}", []
+        where, base = filesystem(folder)
+        where.create_dir(base, recursive=True)
+        for k in range(blocks):
+            part = found.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == k).toArrow()
+            if part.num_rows:
+                with where.open_output_stream(f"{base}/{k}") as f:
+                    f.write(pickle.dumps(_block(part, cfg.n)))
+                paths.append(f"{folder}/{k}")
+        suite = Suite(None, tuple(paths))
+    discard(found)
+    return suite
+
+
+def shard_spans(suite: Suite, cfg: LeakConfig, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, list[int]]]:
     """Merged spans of a shard: ``(row, begin byte, end byte, words, items)``."""
-    if not len(phrases.patterns):
-        return []
     w = tc.words(data, offs)
-    if not len(w.start):
-        return []
-    at = np.minimum(np.searchsorted(phrases.vocabulary, w.hash), len(phrases.vocabulary) - 1)
-    known = phrases.vocabulary[at] == w.hash
-    brk = np.concatenate([[True], ~known[:-1] | (w.row[1:] != w.row[:-1])]) & known
-    begin = np.flatnonzero(brk)
-    stop = np.flatnonzero(known & np.concatenate([~known[1:] | (w.row[1:] != w.row[:-1]), [True]])) + 1
-    long = stop - begin >= phrases.lengths.min()
-    begin, size = begin[long], (stop - begin)[long]
-    if not len(begin):
+    if not len(w.start) or suite.held is None and not suite.paths:
         return []
-    place = np.cumsum(size + 1) - (size + 1)
-    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    token = np.full(int((size + 1).sum()), -1, np.int64)
-    token[np.repeat(place, size) + inner] = np.repeat(begin, size) + inner
-    seq = np.where(token >= 0, at[token] + 1, 0)
+    alphabet, symbol = np.unique(w.hash, return_inverse=True)
+    token = np.arange(len(w.start)) + w.row
+    seq = np.zeros(token[-1] + 2, np.int64)
+    seq[token] = symbol + 1
+    word = np.zeros(len(seq), np.int64)
+    word[token] = np.arange(len(w.start))
     index = FMIndex(seq, cfg.sample)
-    lo, hi = index.search(phrases.patterns, phrases.lengths)
-    hits = hi - lo
-    if not hits.sum():
-        return []
-    which = np.repeat(np.arange(len(hits)), hits)
-    rows = np.repeat(lo - (np.cumsum(hits) - hits), hits) + np.arange(hits.sum())
-    first = token[index.locate(rows)]
-    return merge_spans(w, first, phrases.lengths[which], which, phrases)
-
-
-def merge_spans(w: tc.Words, first: np.ndarray, length: np.ndarray, which: np.ndarray, phrases: Phrases) -> list[tuple[int, int, int, int, list[int]]]:
+    first, length, items = [], [], []
+    for block in suite:
+        at = np.minimum(np.searchsorted(alphabet, block.patterns), len(alphabet) - 1)
+        unused = np.arange(cfg.n) < cfg.n - block.lengths[:, None]
+        here = np.flatnonzero(((alphabet[at] == block.patterns) | unused).all(axis=1))
+        if not len(here):
+            continue
+        lo, hi = index.search(np.where(unused[here], 0, at[here] + 1), block.lengths[here])
+        hits = hi - lo
+        if not hits.sum():
+            continue
+        which = np.repeat(here, hits)
+        rows = np.repeat(lo - (np.cumsum(hits) - hits), hits) + np.arange(hits.sum())
+        first.append(word[index.locate(rows)])
+        length.append(block.lengths[which])
+        items += [block.items[block.bounds[p] : block.bounds[p + 1]].tolist() for p in which.tolist()]
+    return merge_spans(w, np.concatenate(first), np.concatenate(length), items) if first else []
+
+
+def merge_spans(w: tc.Words, first: np.ndarray, length: np.ndarray, found: list[list[int]]) -> list[tuple[int, int, int, int, list[int]]]:
     """Union of overlapping or touching word spans within a row."""
     order = np.lexsort((length, first))
     out: list[tuple[int, int, int, int, list[int]]] = []
@@ -106,8 +159,7 @@ def merge_spans(w: tc.Words, first: np.ndarray, length: np.ndarray, which: np.nd
         out.append((int(w.row[s]), int(w.start[s]), int(w.end[e - 1]), e - s, sorted(items)))
 
     for i in order.tolist():
-        s, e, p = int(first[i]), int(first[i] + length[i]), int(which[i])
-        items = phrases.items[phrases.bounds[p] : phrases.bounds[p + 1]].tolist()
+        s, e, items = int(first[i]), int(first[i] + length[i]), found[i]
         if cur and s <= cur[1] and w.row[s] == w.row[cur[0]]:
             cur = (cur[0], max(cur[1], e), cur[2] | set(items))
         else:
@@ -119,11 +171,6 @@ def merge_spans(w: tc.Words, first: np.ndarray, length: np.ndarray, which: np.nd
     return out
 
 
-def _phrases(benchmark: DataFrame, cfg: LeakConfig, item_id: str, item_text: str) -> Phrases:
-    rows = benchmark.select(F.col(item_id).cast("bigint"), F.col(item_text).cast("string")).where(F.col(item_id).isNotNull()).collect()
-    return build_phrases([(r[0], r[1]) for r in rows], cfg)
-
-
 #: Bytes of text in a shard; a longer text is a shard of its own.
 _SHARD = 4 << 20
 
@@ -138,7 +185,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConf
     reported each; a null id stays null; null items and items of fewer than
     ``cfg.least`` words are not searched; empty tables give no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_phrases(benchmark, cfg, item_id, item_text))
+    shared = docs.sparkSession.sparkContext.broadcast(build_suite(benchmark, cfg, item_id, item_text))
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -172,9 +219,10 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakCo
 
     A text that holds a span loses it, and ``chars_col``, where there is one, is
     counted anew; a text of which no word is left goes. All other rows, null and
-    empty texts included, are unchanged.
+    empty texts included, are unchanged; repeated rows are treated alike; an empty
+    table stays empty, and with an empty benchmark nothing changes.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_phrases(benchmark, cfg, item_id, item_text))
+    shared = docs.sparkSession.sparkContext.broadcast(build_suite(benchmark, cfg, item_id, item_text))
     at = docs.columns.index(text_col)
     chars = docs.columns.index(chars_col) if chars_col in docs.columns else None
 

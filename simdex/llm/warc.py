@@ -16,11 +16,10 @@ from typing import BinaryIO
 
 import pyarrow as pa
 import zstandard as zstd
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, shared_dir
+from .common import bound_batches, filesystem, materialize, shared_dir
 
 _DICT_MAGIC = 0x184D2A5D
 _FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -35,10 +34,6 @@ class WarcError(ValueError):
     """A frame or record that breaks the format."""
 
 
-def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def read_dictionary(head: bytes) -> tuple[bytes | None, int]:
     """Dictionary of a leading skippable frame, and the frame's length (0: none)."""
     if len(head) < 8:
@@ -170,7 +165,7 @@ def read_archives(paths: DataFrame, path_col: str = "path", most: int = MOST_BYT
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                where, name = _filesystem(path)
+                where, name = filesystem(path)
                 with where.open_input_stream(name, compression=None) as stream:
                     rows, size = [], 0
                     for row in _records(path, stream, most):
@@ -229,7 +224,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, base = _filesystem(folder)
+        where, base = filesystem(folder)
         where.create_dir(base, recursive=True)
         pend: list[bytes] = []
         size = 0

@@ -129,12 +129,13 @@ def test_components_against_union_find(spark):
     assert got == {1: 1, 2: 1, 3: 1, 50: 1, 41: 1, 5: 5, 6: 5, 7: 5, 8: 5, 9: 5, 20: 20, 21: 20}
 
 
-def test_leaks_against_brute_force(spark):
+@pytest.mark.parametrize("block", [200_000, 7])
+def test_leaks_against_brute_force(spark, block):
     items = [(1, prose("b1", 20)), (2, prose("b2", 9)), (3, "of the"), (4, None), (None, prose("b5", 30)), (5, prose("b6", 6))]
     rows = [(i, prose(i, 60)) for i in range(10)]
     rows += [(20, prose(1, 30) + " " + items[0][1].upper() + ", " + prose(2, 10)), (21, items[1][1]), (22, "x " + " ".join(items[0][1].split()[3:15]) + " y"), (23, "A «" + items[5][1] + "»!"), (24, items[0][1] + " q " + items[0][1])]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    cfg = decontaminate.LeakConfig()
+    cfg = decontaminate.LeakConfig(block=block)
     phrases = {}
     for i, t in items:
         w = words(t or "")
@@ -156,13 +157,15 @@ def test_leaks_against_brute_force(spark):
                 cur = (s, e, set(its))
         if cur:
             want.add((i, spans[cur[0]][0], spans[cur[1] - 1][1], cur[1] - cur[0], tuple(sorted(cur[2]))))
-    got = {(r.doc_id, r.begin_char, r.end_char, r.n_words, tuple(r["items"])) for r in decontaminate.find_leaks(make(spark, rows), bench).collect()}
+    got = {(r.doc_id, r.begin_char, r.end_char, r.n_words, tuple(r["items"])) for r in decontaminate.find_leaks(make(spark, rows), bench, cfg).collect()}
     assert got == want and {g[0] for g in got} == {20, 21, 22, 23, 24}
-    left = {r.doc_id: r.text for r in decontaminate.remove_leaks(make(spark, rows), bench).collect()}
+    left = {r.doc_id: r.text for r in decontaminate.remove_leaks(make(spark, rows), bench, cfg).collect()}
     assert 21 not in left and left[22] == "x  y" and left[5] == rows[5][1] and left[24] == " q "
     assert decontaminate.find_leaks(odd(spark), bench).collect() == []
     assert decontaminate.remove_leaks(odd(spark), bench).count() == len(ODD)
     assert decontaminate.find_leaks(none(spark), bench).count() == decontaminate.find_leaks(make(spark, rows), bench.limit(0)).count() == 0
+    clash = bench.withColumnsRenamed({"item_id": "doc_id"}).withColumns({c: F.lit(1) for c in ("item", "items", "phrase", "begin_char")})
+    assert {r.doc_id for r in decontaminate.find_leaks(make(spark, rows), clash, cfg, item_id="doc_id").collect()} == {20, 21, 22, 23, 24}
 
 
 def test_language_id_keeps_and_rejects(spark):
