@@ -40,6 +40,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._simdex_path = path
+    _stored.append(path)
     return out
 
 
@@ -47,9 +48,30 @@ def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`materialize` that nothing reads any more."""
     path = getattr(df, "_simdex_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _stored:
+        _stored.remove(path)
+
+
+#: Paths of the tables of :func:`materialize` that are not deleted.
+_stored: list[str] = []
+
+
+def keep_only(df: DataFrame, since: int) -> DataFrame:
+    """``df``, a stored table; all others stored since there were ``since`` are deleted."""
+    for path in [p for p in _stored[since:] if p != df._simdex_path]:
+        _delete(df.sparkSession, path)
+    return df
+
+
+def stored() -> int:
+    """How many stored tables there are."""
+    return len(_stored)
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
