@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simdex.llm import decontaminate, jaccard, langid, mixing, secrets
-from simdex.llm.common import BROADCAST_ROWS, materialize, maybe_broadcast, table
+from simdex.llm.common import BROADCAST_ROWS, discard, keep_only, materialize, maybe_broadcast, stored, table
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which one of the languages has its share; texts without a word go."""
+    """Documents in which one of the languages has its share; null texts and texts without a word go, repeated rows stay or go together."""
     return langid.drop_unidentified(docs)
 
 
@@ -40,17 +40,17 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages they share with the benchmark."""
+    """Documents without the passages they share with the benchmark; only a text of which nothing is left goes."""
     return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their secrets marked out."""
+    """Documents with their secrets marked out; all rows stay, null and empty texts as they are."""
     return secrets.redact_secrets(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids, sources and token counts of the documents that fill equal source budgets."""
+    """Ids, sources and token counts of the documents that fill equal source budgets; null sources and null or empty texts are not chosen."""
     return mixing.mix_sources(docs)
 
 
@@ -68,7 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's tables, its input among them, are deleted once its result is stored."""
+    docs, since = table(spark, sf_dir, "documents"), stored()
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs = keep_only(materialize(stage(spark, docs, sf_dir), name), since)
+    chosen = STAGES[-1][1](spark, docs, sf_dir)  # reads the token counts that it has stored
+    discard(docs)
+    return chosen
