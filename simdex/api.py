@@ -12,7 +12,7 @@ from .functions import canon as _canon
 from .functions.codec import pack5, unpack5
 from .functions.encode import add_planes, encode_text
 from .functions.lens import LENSES, parse_lens
-from .operators import csidf, dedup, joins, route, stage2
+from .operators import csidf, dedup, fields, joins, route, stage2
 from .sources import readers
 
 
@@ -103,19 +103,49 @@ class Index:
     def dedup(self) -> DataFrame:
         return dedup.scan(self.rows, self.key, self.threshold, self.lens, self.calibrate)
 
+    def settings(self) -> dict:
+        return {"threshold": self.threshold, "lens": self.lens, "calibrate": self.calibrate}
+
+    def apply(self, settings: dict) -> Index:
+        lens = settings["lens"]
+        self.threshold, self.lens, self.calibrate = settings["threshold"], lens if isinstance(lens, str) else tuple(lens), settings["calibrate"]
+        return self
+
     def save(self, path: str) -> None:
-        readers.save_index(self.rows, path, threshold=self.threshold, lens=self.lens, calibrate=self.calibrate)
+        readers.save_index(self.rows, path, **self.settings())
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
         rows, settings = readers.load_index(spark, path)
-        return cls(rows, "id", **settings)
+        return cls(rows, "id").apply(settings)
 
 
 class Router(Index):
     """An index that is asked by band routing."""
 
     mode = "balanced"
+    #: Corpus weights, once enabled.
+    weights: np.ndarray | None = None
+
+    def settings(self) -> dict:
+        return {**super().settings(), "mode": self.mode, "weights": None if self.weights is None else self.weights.tolist()}
+
+    def apply(self, settings: dict) -> Router:
+        super().apply(settings)
+        self.mode = settings.get("mode", "balanced")
+        self.weights = None if settings.get("weights") is None else np.array(settings["weights"])
+        return self
+
+    def add(self, other: Index) -> Router:
+        """Both indexes' rows; corpus weights, where enabled, are counted anew."""
+        out = super().add(other)
+        out.mode = self.mode
+        return out.enable_weights() if self.weights is not None else out
+
+    def enable_weights(self) -> Router:
+        """Count the corpus weights of all rows of the index."""
+        self.weights = csidf.collect_weights(csidf.document_frequency(self.rows))
+        return self
 
     def set_recall(self, mode: str) -> Router:
         if mode not in route.MODES:
@@ -134,14 +164,33 @@ class Router(Index):
 
     def query_weighted(self, vectors: DataFrame, key: str) -> DataFrame:
         """Candidates re-ranked with the corpus weights of the index."""
-        w = csidf.collect_weights(csidf.document_frequency(self.rows))
-        found = route.candidates(vectors, key, self.rows, self.key, self.mode)
-        left = joins.vectors(vectors, key)
-        right = joins.vectors(self.rows, self.key)
-        right = right.select(F.col("id").alias("ref_id"), *(F.col(c).alias(f"{c}_b") for c in joins.VECTOR))
-        scored = csidf.score_pairs(found.join(left, "id").join(right, "ref_id"), w, self.lens)
-        best = joins.best(scored.select("id", "ref_id", "similarity"))
-        return best.withColumn("is_duplicate", F.col("similarity") >= self.threshold)
+        if self.weights is None:
+            self.enable_weights()
+        return route.query_weighted(vectors, key, self.rows, self.key, self.weights, self.threshold, self.lens, self.mode)
+
+
+class FieldRouter(Router):
+    """A routed index of documents of several fields; rows are those of :func:`fields.field_vectors`."""
+
+    fields = fields.FieldConfig()
+
+    def with_fields(self, cfg: fields.FieldConfig) -> FieldRouter:
+        self.fields = cfg
+        return self
+
+    def settings(self) -> dict:
+        return {**super().settings(), "fields": [self.fields.names, self.fields.weights, self.fields.route]}
+
+    def apply(self, settings: dict) -> FieldRouter:
+        super().apply(settings)
+        names, weights, by = settings["fields"]
+        return self.with_fields(fields.FieldConfig(tuple(names), tuple(weights), by))
+
+    def add(self, other: Index) -> FieldRouter:
+        return super().add(other).with_fields(self.fields)
+
+    def query(self, vectors: DataFrame, key: str) -> DataFrame:
+        return fields.nearest_routed(vectors, key, self.rows, self.key, self.fields, self.threshold, self.mode)
 
 
 class Trainer:

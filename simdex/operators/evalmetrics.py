@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import joins
+
 
 def mid_rank(column: str, by: tuple[str, ...] = ()) -> Column:
     """Rank from 1, ties sharing the middle of theirs."""
@@ -37,6 +39,41 @@ def threshold_sweep(df: DataFrame, score: str, actual: str, thresholds: list[flo
     return prf(both, "__p", actual, ("threshold",))
 
 
+def dedup_sweep(df: DataFrame, key: str, group: str, duplicate: str, thresholds: list[float], lens: str | tuple[float, ...] = "dedup") -> DataFrame:
+    """``threshold, tp, fp, fn, precision, recall, f1`` of duplicates whose group is known.
+
+    A duplicate's best match among all other rows is true at or above the threshold
+    within its group, false in another, and missed below; every pair of other rows
+    at the threshold in two groups is false too. A null group is nobody's.
+    """
+    grid = df.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double")
+    known, others = df.where(F.col(duplicate)), df.where(~F.coalesce(F.col(duplicate), F.lit(False)))
+    of = df.select(F.col(key).alias("ref_id"), F.col(group).alias("ref_group"))
+    top = joins.best(joins.scored(known, key, df, key, joins.score(lens), "a.id <> b.id"))
+    own = known.select(F.col(key).alias("id"), F.col(group).alias("own_group")).join(top, "id", "left").join(of, F.col("match_id") == F.col("ref_id"), "left")
+    found = F.coalesce(F.col("similarity"), F.lit(-1.0)) >= F.col("threshold")
+    same = F.coalesce(F.col("own_group") == F.col("ref_group"), F.lit(False))
+    a = own.crossJoin(F.broadcast(grid)).groupBy("threshold").agg(F.count_if(found & same).alias("tp"), F.count_if(found & ~same).alias("fp"), F.count_if(~found).alias("fn"))
+    pairs = joins.pairs(others, key, min(thresholds), lens)
+    pairs = pairs.join(of.select(F.col("ref_id").alias("i"), F.col("ref_group").alias("gi")), "i").join(of.select(F.col("ref_id").alias("j"), F.col("ref_group").alias("gj")), "j")
+    b = pairs.where(~F.coalesce(F.col("gi") == F.col("gj"), F.lit(False))).crossJoin(F.broadcast(grid)).where("similarity >= threshold").groupBy("threshold").agg(F.count("*").alias("more"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    c = grid.join(a, "threshold", "left").join(b, "threshold", "left").select("threshold", zero("tp").alias("tp"), (zero("fp") + zero("more")).alias("fp"), zero("fn").alias("fn"))
+    ratio = lambda n, d: F.when(d > 0, n / d).otherwise(0.0)
+    c = c.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
+    return c.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def balanced(df: DataFrame, label: str, total: int, key: str, seed: int = 42) -> DataFrame:
+    """A sample of ``total`` rows, as many of each label as of any other where there are enough.
+
+    Rows go by a seeded hash of the key; what a short label leaves goes to the next rows of the others.
+    """
+    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key)
+    rows = df.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= total)
+    return rows.orderBy("__r", label).limit(total).drop("__r")
+
+
 def mean_absolute_error(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(F.col(x) - F.col(y))).alias("mae"))
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions.encode import NORMS, PLANES, add_planes
 from ..functions.lens import STATIC_IDF
+from . import route
+from .joins import best
 
 
 @dataclass(frozen=True)
@@ -87,3 +89,19 @@ def route_vector(df: DataFrame, cfg: FieldConfig, key: str) -> DataFrame:
     """The routing field's vector under the plain column names."""
     i = cfg.names.index(cfg.route)
     return df.select(F.col(key).alias("id"), *(F.col(f"{n}_{i}").alias(n) for n in (*PLANES, *NORMS)))
+
+
+def nearest_routed(df: DataFrame, key: str, index: DataFrame, index_key: str, cfg: FieldConfig, threshold: float, mode: str = "balanced", idf: bool = False) -> DataFrame:
+    """``id, is_duplicate, match_id, similarity``: candidates share a bucket of the routing field, fields re-rank them.
+
+    Every entry is a candidate in small indexes; a row without one has similarity 0.
+    """
+    a, b = field_vectors(df, cfg, key), field_vectors(index, cfg, index_key)
+    if index.count() < route.BRUTE_FORCE_BELOW:
+        found = a.select("id").crossJoin(b.select(F.col("id").alias("ref_id")))
+    else:
+        found = route.candidates(route_vector(df, cfg, key), "id", route_vector(index, cfg, index_key), "id", mode)
+    both = found.alias("c").join(a.alias("a"), F.expr("a.id = c.id")).join(b.alias("b"), F.expr("b.id = c.ref_id"))
+    top = best(both.select(F.col("c.id").alias("id"), F.col("c.ref_id").alias("ref_id"), F.expr(field_cosine(cfg, idf)).alias("similarity")))
+    sim = F.coalesce("similarity", F.lit(0.0))
+    return a.select("id").join(top, "id", "left").select("id", (sim >= threshold).alias("is_duplicate"), "match_id", sim.alias("similarity"))

@@ -56,11 +56,15 @@ def band_keys(df: DataFrame, key: str, probes: tuple[int, ...] | None = None) ->
 def candidates(df: DataFrame, key: str, index: DataFrame, index_key: str, mode: str = "balanced", not_self: bool = False) -> DataFrame:
     """``id, ref_id``: the first candidates of each row up to the mode's cap.
 
-    They are ordered by band, probe and index key, each counted once.
+    They are ordered by band, probe and index key, each counted once. At most
+    ``cap`` of a bucket's keys have been counted in earlier buckets, so none beyond
+    its first ``2 cap`` can be among a row's candidates, and none takes part.
     """
     probes, cap = MODES[mode]
     ask = band_keys(df, key, probes)
     have = band_keys(index, index_key).select(F.col("id").alias("ref_id"), "band", "bucket")
+    place = F.row_number().over(Window.partitionBy("band", "bucket").orderBy("ref_id"))
+    have = have.withColumn("place", place).where(F.col("place") <= 2 * cap + not_self).drop("place")
     hits = ask.join(have, ["band", "bucket"])
     if not_self:
         hits = hits.where("id <> ref_id")
@@ -142,3 +146,45 @@ def recall(df: DataFrame, key: str, threshold: float, mode: str = "balanced", le
     return both.agg(F.count("*").alias("brute_duplicates"), F.count_if(F.coalesce("hit", F.lit(False))).alias("routed_duplicates")).withColumn(
         "recall", F.when(F.col("brute_duplicates") > 0, F.col("routed_duplicates") / F.col("brute_duplicates")).otherwise(F.lit(1.0))
     )
+
+
+def recall_report(index: DataFrame, index_key: str, asked: DataFrame, key: str, threshold: float, mode: str = "balanced", lens: str | tuple[float, ...] = "dedup") -> DataFrame:
+    """One row: how routed queries compare with exhaustive ones.
+
+    ``corpus_size, queries, recall_mode, brute_matches, routed_matches, recall,
+    avg_candidates, overflow_rate`` (queries that fill the candidate cap),
+    ``bucket_skew`` (largest bucket over the mean of all) and ``verdict``: PASS at a
+    recall of 0.99 with overflow below 0.05, WARN at 0.95 or overflow below 0.1,
+    else FAIL. Without a brute match recall is 1.
+    """
+    brute = nearest(asked, key, index, index_key, threshold, lens).select("id", F.col("is_duplicate").alias("brute"))
+    routed = query(asked, key, index, index_key, threshold, lens, mode).select("id", F.col("is_duplicate").alias("routed"))
+    checked = query_stats(asked, key, index, index_key, mode).select("id", "candidates_checked")
+    rows = asked.select(F.col(key).alias("id")).join(brute, "id", "left").join(routed, "id", "left").join(checked, "id", "left")
+    hit = F.coalesce("brute", F.lit(False))
+    got = rows.agg(
+        F.count("*").alias("queries"), F.count_if(hit).alias("brute_matches"), F.count_if(hit & F.coalesce("routed", F.lit(False))).alias("routed_matches"),
+        F.avg("candidates_checked").alias("avg_candidates"), F.avg((F.col("candidates_checked") >= MODES[mode][1]).cast("double")).alias("overflow_rate"),
+    )
+    size = bucket_sizes(index, index_key).agg(F.max("size").alias("largest"))
+    got = got.crossJoin(size).crossJoin(index.agg(F.count("*").alias("corpus_size")))
+    recall_ = F.when(F.col("brute_matches") > 0, F.col("routed_matches") / F.col("brute_matches")).otherwise(1.0)
+    skew = F.when(F.col("corpus_size") > 0, F.col("largest") / (F.col("corpus_size") / BUCKETS)).otherwise(1.0)
+    verdict = F.when((F.col("recall") >= 0.99) & (F.col("overflow_rate") < 0.05), "PASS").when((F.col("recall") >= 0.95) | (F.col("overflow_rate") < 0.1), "WARN").otherwise("FAIL")
+    return got.select("corpus_size", "queries", F.lit(mode).alias("recall_mode"), "brute_matches", "routed_matches", recall_.alias("recall"), "avg_candidates", "overflow_rate", skew.alias("bucket_skew")).withColumn("verdict", verdict)
+
+
+def query_weighted(df: DataFrame, key: str, index: DataFrame, index_key: str, weights: np.ndarray, threshold: float, lens: str | tuple[float, ...] = "dedup", mode: str = "balanced") -> DataFrame:
+    """``id, is_duplicate, match_id, similarity`` by routing, re-ranked with corpus weights; every entry is a candidate in small indexes."""
+    from . import csidf
+
+    left, right = vectors(df, key), vectors(index, index_key)
+    if index.count() < BRUTE_FORCE_BELOW:
+        found = left.select("id").crossJoin(right.select(F.col("id").alias("ref_id")))
+    else:
+        found = candidates(df, key, index, index_key, mode)
+    right = right.select(F.col("id").alias("ref_id"), *(F.col(p).alias(f"{p}_b") for p in PLANES))
+    top = best(csidf.score_pairs(found.join(left, "id").join(right, "ref_id"), weights, lens).select("id", "ref_id", "similarity"))
+    rows = df.select(F.col(key).alias("id")).join(top, "id", "left")
+    sim = F.coalesce("similarity", F.lit(0.0))
+    return rows.select("id", (sim >= threshold).alias("is_duplicate"), "match_id", sim.alias("similarity"))

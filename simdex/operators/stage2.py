@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.encode import PLANES, fnv1a_64, planes_of, trits_of, widened
+from ..sources import readers
 
 DIM, K = 240, 3
 _LCG_MUL, _LCG_ADD, _M64 = 6364136223846793005, 1442695040888963407, (1 << 64) - 1
@@ -296,6 +297,23 @@ def unfreeze(weights: DataFrame, scale: int) -> DataFrame:
     return weights.select("i", "j", (F.when(F.col("weight") == 2, scale).when(F.col("weight") == 1, -scale).otherwise(0)).cast("bigint").alias("counter"))
 
 
+def save_accumulator(acc: DataFrame, path: str, cfg: HebbianConfig) -> None:
+    """Counters with their training settings, to go on from later; readers see the old ones until the new are complete."""
+    readers.save_index(acc.select("i", "j", "counter"), path, kind="accumulator", **cfg.__dict__)
+
+
+def load_accumulator(spark: SparkSession, path: str) -> tuple[DataFrame, HebbianConfig]:
+    """Stored counters and settings; an error where a cell lies outside, stands twice or beyond 32 bits, or the checksum differs."""
+    acc, meta = readers.load_index(spark, path)
+    if meta.pop("kind", None) != "accumulator":
+        raise ValueError(f"{path}: no accumulator")
+    outside = ~(F.col("i").between(0, DIM - 1) & F.col("j").between(0, DIM - 1) & F.col("counter").between(-(1 << 31) + 1, (1 << 31) - 1))
+    bad, cells, distinct = acc.agg(F.count_if(F.coalesce(outside, F.lit(True))), F.count("*"), F.countDistinct("i", "j")).first()
+    if bad or cells != distinct:
+        raise ValueError(f"{path}: {bad} counters out of range, {cells - distinct} twice")
+    return acc, HebbianConfig(**meta)
+
+
 def freeze_stats(weights: DataFrame) -> DataFrame:
     w = F.col("weight")
     return weights.agg(F.count("*").alias("total"), F.count_if(w == 2).alias("positive"), F.count_if(w == 1).alias("negative"), F.avg((w != 0).cast("double")).alias("density"))

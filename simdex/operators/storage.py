@@ -14,9 +14,11 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one where none is named."""
+    """The folder named in ``spark.checkpoint.dir``; where none is, one machine alone gets a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), f"simdex-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
