@@ -16,7 +16,7 @@ from ..functions import codec
 from ..functions import similarity as S
 from ..functions import generate
 from ..functions.encode import PLANES, add_planes, encode_cte, trit_array, with_norms
-from ..functions.lens import CHAINS, LENSES, STATIC_IDF
+from ..functions.lens import _HITS, CHAINS, LENSES, STATIC_IDF
 from ..operators import csidf, dedup, evalmetrics, fields, joins, route, stage2
 from ..operators.storage import dealt, spread, store
 from ..sources import readers
@@ -121,7 +121,7 @@ def positional_round_trip(spark, d):
     return codec.add_positional(_table(spark, d, "part").select("p_partkey", "p_name"), "p_name").select("p_partkey", "decoded", "was_cut")
 
 
-@query()
+@query(f"WITH {TURNS} " + " UNION ALL ".join(f"SELECT id AS original_id, {c} AS copy, text, {generate.mutate_sql('text', c)} AS mutated FROM turns" for c in (0, 1)))
 def near_duplicate_fixture(spark, d):
     return generate.near_duplicates(_turns(spark, d), "id", "text", 2)
 
@@ -157,7 +157,7 @@ def canon_uuid(spark, d):
     return _canon(spark, d, C.strip_uuids(F.col("text")))
 
 
-@query()
+@query(_canon_sql("support"))
 def canon_support(spark, d):
     return _canon(spark, d, C.canon(F.col("text"), "support"))
 
@@ -399,6 +399,27 @@ def route_recall(spark, d):
     return route.recall(store(_enc(spark, d), "turns"), "id", T_SCAN).withColumn("recall", F.round("recall", 6))
 
 
+def _either(n: str, a: str, b: str) -> str:
+    """Candidates by routing, or all pairs where the index is small."""
+    return f"cand AS MATERIALIZED (SELECT id, ref_id FROM firsts WHERE (SELECT count(*) FROM {n}) >= 500 QUALIFY row_number() OVER (PARTITION BY id ORDER BY place, ref_id) <= 500 UNION ALL SELECT a.id, b.id FROM {a} a, {b} b WHERE (SELECT count(*) FROM {n}) < 500)"
+
+
+@query(f"{DOCREF}, {_band_sql('ref', _BALANCED, 'ask')}, {_band_sql('enc', (), 'have_')}, have AS (SELECT id AS ref_id, band, bucket FROM have_), firsts AS (SELECT id, ref_id, min(band * 10 + probe) AS place FROM ask JOIN have USING (band, bucket) GROUP BY ALL), {_either('enc', 'ref', 'enc')}, routed AS (SELECT c.id, max({_RAW}) AS x, count(*) AS n FROM cand c JOIN ref a ON a.id = c.id JOIN enc b ON b.id = c.ref_id GROUP BY c.id), brute AS (SELECT a.id, max({_RAW}) AS x FROM ref a, enc b GROUP BY a.id), r AS (SELECT brute.x >= {T_REF}e0 AS hit, coalesce(routed.x, 0) >= {T_REF}e0 AS found, coalesce(n, 0) AS n FROM brute LEFT JOIN routed USING (id)), q AS (SELECT count(*) AS queries, count(*) FILTER (WHERE hit) AS brute_matches, count(*) FILTER (WHERE hit AND found) AS routed_matches, avg(n) AS avg_candidates, avg((n >= 500)::INTEGER) AS overflow_rate FROM r), s AS (SELECT *, CASE WHEN brute_matches > 0 THEN routed_matches / brute_matches ELSE 1 END AS recall, (SELECT max(k) FROM (SELECT count(*) AS k FROM have GROUP BY band, bucket)) / ((SELECT count(*) FROM enc) / 4096) AS bucket_skew FROM q) SELECT (SELECT count(*) FROM enc) AS corpus_size, queries, 'balanced' AS recall_mode, brute_matches, routed_matches, round(recall, 6) AS recall, round(avg_candidates, 6) AS avg_candidates, round(overflow_rate, 6) AS overflow_rate, round(bucket_skew, 6) AS bucket_skew, CASE WHEN recall >= 0.99 AND overflow_rate < 0.05 THEN 'PASS' WHEN recall >= 0.95 OR overflow_rate < 0.1 THEN 'WARN' ELSE 'FAIL' END AS verdict FROM s")
+def route_report(spark, d):
+    out = route.recall_report(store(_docs(spark, d), "docs"), "id", store(_items(spark, d), "items"), "id", T_REF)
+    rounded = ("recall", "avg_candidates", "overflow_rate", "bucket_skew")
+    return out.select(*(F.round(c, 6).alias(c) if c in rounded else c for c in out.columns))
+
+
+@query(f"{DOCREF} SELECT a.id AS doc_id, round({S.flat_cosine('a.', 'b.')}, 6) AS similarity FROM enc a, ref b WHERE b.id = (SELECT min(id) FROM ref)")
+def similarity_vector(spark, d):
+    """The flat similarity of one benchmark item and every document."""
+    items = _items(spark, d)
+    one = items.join(F.broadcast(items.agg(F.min("id").alias("id"))), "id")
+    found = joins.scored(_docs(spark, d), "id", one, "id", S.flat_cosine("a.", "b."))
+    return found.select(F.col("id").alias("doc_id"), F.round("similarity", 6).alias("similarity"))
+
+
 # corpus weights
 
 _DF = " UNION ALL ".join(f"SELECT {c * 60} + i AS channel, sum(((p{c} | q{c}) >> i) & 1) AS df, count(*) AS n FROM {{enc}}, range(60) r(i) GROUP BY i" for c in range(4))
@@ -443,6 +464,22 @@ def noise_floor(spark, d):
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns[:3]), "low_channels")
 
 
+_CAND_W = CAND.split("cand AS MATERIALIZED")[0] + _either("enc", "enc", "enc")
+
+
+@query(f"""{_CAND_W}, {WEIGHTS.split(ENC + ', ')[1].split(', ', 1)[1].split('two AS (SELECT s.id AS sid, s.id_b FROM steps s), ')[-1]}, {_LONG_TWO},
+num AS (SELECT cand.id, ref_id, a.channel // 60 AS c, sum(weight * a.value * b.value) AS ab FROM cand JOIN long a ON a.id = cand.id JOIN long b ON b.id = ref_id AND a.channel = b.channel JOIN wt ON wt.channel = a.channel GROUP BY ALL),
+sq AS MATERIALIZED (SELECT id, long.channel // 60 AS c, sum(weight * value * value) AS s FROM long JOIN wt USING (channel) GROUP BY ALL),
+sims AS (SELECT cand.id, cand.ref_id, sum([0.5, 0.5, 0.7, 1.0][g.c + 1]::DOUBLE * CASE WHEN sqrt(coalesce(sa.s, 0)) * sqrt(coalesce(sb.s, 0)) < 1e-12 THEN 0 ELSE least(coalesce(ab, 0) / (sqrt(sa.s) * sqrt(sb.s)), 1) END) / 2.7e0 AS x FROM cand CROSS JOIN range(4) g(c) LEFT JOIN num ON num.id = cand.id AND num.ref_id = cand.ref_id AND num.c = g.c LEFT JOIN sq sa ON sa.id = cand.id AND sa.c = g.c LEFT JOIN sq sb ON sb.id = cand.ref_id AND sb.c = g.c GROUP BY ALL)
+SELECT id, round(max(x), 6) >= {T_PAIR}e0 AS is_duplicate, round(max(x), 6) AS similarity FROM sims GROUP BY id""")
+def route_weighted(spark, d):
+    """The best weighted similarity among routed candidates; which of equal ones it is hangs on the last digit."""
+    e = store(_enc(spark, d), "turns")
+    found = route.query_weighted(e, "id", e, "id", csidf.collect_weights(csidf.document_frequency(e)), T_PAIR)
+    best = F.round("similarity", 6)
+    return found.select("id", (best >= T_PAIR).alias("is_duplicate"), best.alias("similarity"))
+
+
 # fields
 
 _FIELDS = fields.FieldConfig(("title", "body"), (1.0, 0.8), "body")
@@ -481,6 +518,19 @@ def field_nearest(spark, d):
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+_DOC_FIELDS = fields.FieldConfig(("title", "body"), (0.5, 1.0), "body")
+_DF2 = fields.field_cosine(_DOC_FIELDS)
+_DOC_CTE = f"WITH t AS (SELECT doc_id, lang || ' ' || source AS title, text FROM documents), {encode_cte('t', 'doc_id', 'title', 'e0')}, {encode_cte('t', 'doc_id', 'text', 'e1')}, enc AS (SELECT e0.id, {', '.join(f'e{i}.{n} AS {n}_{i}' for i in (0, 1) for n in (*PLANES, 's0', 's1', 's2', 's3'))} FROM e0 JOIN e1 USING (id))"
+
+
+@query(f"{_DOC_CTE}, {_band_sql('e1', _BALANCED, 'ask')}, have AS (SELECT id AS ref_id, band, bucket FROM ask WHERE probe = 0), firsts AS (SELECT id, ref_id, min(band * 10 + probe) AS place FROM ask JOIN have USING (band, bucket) GROUP BY ALL), {_either('enc', 'enc', 'enc')}, s AS (SELECT a.id, b.id AS ref_id, {_DF2} AS x FROM cand JOIN enc a ON a.id = cand.id JOIN enc b ON b.id = cand.ref_id) SELECT id, x >= {T_FIELD}e0 AS is_duplicate, ref_id AS match_id, round(x, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY x DESC, ref_id) = 1")
+def field_routed(spark, d):
+    rows = _table(spark, d, "documents").select("doc_id", F.concat_ws(" ", "lang", "source").alias("title"), "text")
+    enc = fields.encode_fields(rows, _DOC_FIELDS, {"title": "title", "body": "text"})
+    e = store(fields.field_vectors(enc, _DOC_FIELDS, "doc_id"), "fields")
+    return fields.nearest_routed(e, "id", e, "id", _DOC_FIELDS, T_FIELD).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_fields(spark, d):
     return _table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
@@ -530,6 +580,25 @@ def _projected(mode: str, weights) -> Query:
     return run
 
 
+def _projection_sql(mode: str, w) -> str:
+    """Dot products with the weights' rows, written out as digits; the votes of three copies; planes from channels."""
+    value = {"mod3": "v::BIGINT", "block": "v::BIGINT", "sign": "v::BIGINT - 1", "sparse": "CASE v WHEN '2' THEN 1 WHEN '1' THEN -1 ELSE 0 END"}[mode]
+    shift = 0 if mode in ("mod3", "block") else 1
+    size = 60 if mode == "block" else 240
+    digits = ", ".join(f"'{''.join(map(str, row))}'" for row in w.reshape(-1, size).tolist())
+    dot = "list_dot_product(x.v, w.v)"
+    vote = f"({dot}::BIGINT % 3)" if not shift else f"(sign({dot})::BIGINT + 1)"
+    chans = "(" + " || ".join(f"list_transform(range(60), lambda i: ({_TRIT.format(c=c)} - {shift})::DOUBLE)" for c in range(4)) + ")"
+    slices = f"SELECT id, c, {chans}[c * 60 + 1 : c * 60 + 60] AS v FROM enc, range(4) g(c)" if mode == "block" else f"SELECT id, 0 AS c, {chans} AS v FROM enc"
+    planes = ", ".join(f"sum(CASE WHEN ch // 60 = {c} AND val = {n} THEN 1::BIGINT << (ch % 60)::INTEGER ELSE 0 END)::BIGINT AS {p}{c}" for p, n in (("p", 1), ("q", 2)) for c in range(4))
+    return f"""{ENC}, lines AS (SELECT unnest([{digits}]) AS d, unnest(range({len(w.reshape(-1, size))})) AS r),
+    w AS MATERIALIZED (SELECT r // 240 AS k, r % 240 AS ch, {'(r % 240) // 60' if mode == 'block' else '0'} AS c, list_transform(string_split(d, ''), lambda v: ({value})::DOUBLE) AS v FROM lines),
+    x AS MATERIALIZED ({slices}),
+    votes AS (SELECT id, ch, max(CASE WHEN k = 0 THEN {vote} END) AS a, max(CASE WHEN k = 1 THEN {vote} END) AS b, max(CASE WHEN k = 2 THEN {vote} END) AS d FROM x JOIN w USING (c) GROUP BY id, ch),
+    chosen AS (SELECT id, ch, CASE WHEN b = d AND a <> b THEN b ELSE a END AS val FROM votes)
+    SELECT id, {planes} FROM chosen GROUP BY id"""
+
+
 for _name, _mode, _weights in (
     ("mod3_projection", "mod3", lambda: stage2.random_projection(42)),
     ("sign_projection", "sign", lambda: stage2.random_projection(42)),
@@ -537,6 +606,7 @@ for _name, _mode, _weights in (
     ("block_projection", "block", lambda: stage2.random_blocks(42)),
 ):
     QUERIES[_name] = _projected(_mode, _weights)
+    ORACLE_SQL[_name] = _projection_sql(_mode, _weights())
 
 
 @query()
@@ -646,7 +716,10 @@ def alpha_grid(spark, d):
     return evalmetrics.alpha_grid(_eval_rows(spark, d), "s1", "s2", "gold").withColumn("rho", F.round("rho", 6))
 
 
-@query()
+_TENTHS = "rows_ AS (SELECT *, floor(s1 * 10)::INTEGER AS bucket FROM ev WHERE s1 < 1), bl AS MATERIALIZED (SELECT bucket, alpha, round(alpha * s1 + (1 - alpha) * s2, 9) AS s, gold FROM rows_, (SELECT i / 10.0::DOUBLE AS alpha FROM range(11) r(i)))"
+
+
+@query(f"{EVAL}, {_TENTHS}, rho AS {_rho_sql('s', 'gold', 'bl', 'bucket, alpha')}, best AS (SELECT bucket, CASE WHEN n < 3 THEN 0.5e0 ELSE alpha END AS alpha FROM rho QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY rho DESC, alpha) = 1) SELECT b::INTEGER AS bucket, coalesce(alpha, 0.5e0) AS alpha FROM range(10) g(b) LEFT JOIN best ON best.bucket = b")
 def adaptive_alpha(spark, d):
     return evalmetrics.adaptive_alpha(_eval_rows(spark, d), "s1", "s2", "gold")
 
@@ -661,6 +734,14 @@ def f1_sweep(spark, d):
     return out.select("threshold", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
+@query(f"{ENC}, r AS (SELECT enc.*, conv_id, turn % 3 = 1 AS dup FROM enc JOIN turns USING (id)), best AS (SELECT a.id, a.conv_id, b.conv_id AS other, {_RAW} AS x FROM r a JOIN r b ON a.dup AND a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {_RAW} DESC, b.id) = 1), cross_ AS MATERIALIZED (SELECT {_RAW} AS x FROM r a JOIN r b ON NOT a.dup AND NOT b.dup AND a.id < b.id AND a.conv_id <> b.conv_id AND {_RAW} >= 0.5e0), t AS (SELECT unnest({[round(t, 2) for t in _SWEEP]})::DOUBLE AS threshold), c AS (SELECT threshold, count(*) FILTER (WHERE x >= threshold AND conv_id = other) AS tp, count(*) FILTER (WHERE x >= threshold AND conv_id <> other) + (SELECT count(*) FROM cross_ WHERE cross_.x >= threshold) AS fp, count(*) FILTER (WHERE x < threshold) AS fn FROM best, t GROUP BY threshold), p AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall FROM c) SELECT threshold, tp, fp, fn, round(precision, 6)::DOUBLE AS precision, round(recall, 6)::DOUBLE AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6)::DOUBLE AS f1 FROM p")
+def dedup_sweep(spark, d):
+    """Every third turn counts as a known duplicate, a conversation as a group."""
+    e = store(_enc(spark, d).withColumn("dup", F.col("turn") % 3 == 1), "turns")
+    out = evalmetrics.dedup_sweep(e, "id", "conv_id", "dup", [round(t, 2) for t in _SWEEP])
+    return out.select("threshold", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
 _LABEL = "CASE WHEN gold >= 0.6 THEN 'similar' WHEN gold >= 0.3 THEN 'neutral' ELSE 'dissimilar' END"
 
 
@@ -675,12 +756,16 @@ def split_stratified(spark, d):
     return evalmetrics.stratified_split(_table(spark, d, "documents").select("doc_id", "source"), "doc_id", "source")
 
 
-@query(f"{EVAL} SELECT role AS source, count(*) AS rows, count(*) FILTER (WHERE text = '') AS missing_text, 0::BIGINT AS bad_score, 0::BIGINT AS bad_label FROM ev JOIN turns USING (id) GROUP BY role")
+@query(f"{EVAL}, p AS (SELECT t.role AS source, t.text AS text_a, u.text AS text_b, gold AS score, CASE WHEN turn % 5 = 4 THEN 'other' WHEN gold >= 0.6 THEN 'similar' WHEN gold >= 0.3 THEN 'neutral' ELSE 'dissimilar' END AS label, t.turn FROM ev JOIN turns t USING (id) JOIN turns u ON u.conv_id = t.conv_id AND u.turn = t.turn + 1), q AS (SELECT source, text_a, CASE WHEN turn % 7 = 2 THEN '' ELSE text_b END AS text_b, CASE WHEN turn % 3 = 1 THEN score + 1 ELSE score END AS score, label FROM p) SELECT source, count(*) AS rows, count(*) FILTER (WHERE coalesce(text_a, '') = '' OR coalesce(text_b, '') = '') AS missing_text, count(*) FILTER (WHERE score IS NULL OR NOT score BETWEEN 0 AND 1) AS bad_score, count(*) FILTER (WHERE label IS NULL OR label NOT IN ('similar', 'neutral', 'dissimilar')) AS bad_label FROM q GROUP BY source".replace("(WHERE turn", "(WHERE t.turn").replace("CASE WHEN turn % 5", "CASE WHEN t.turn % 5"))
 def validate_pairs(spark, d):
     t = _turns(spark, d)
     nxt = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("text_b"))
     rows = _eval_rows(spark, d).join(t, "id").join(nxt, ["conv_id", "turn"])
-    return evalmetrics.validate_pairs(rows.select(F.col("text").alias("text_a"), "text_b", F.col("gold").alias("score"), readers.label_of(F.col("gold")).alias("label"), F.col("role").alias("source")))
+    # every third turn gets a score, every fifth a label and every seventh a text that the check must count
+    text_b = F.when(F.col("turn") % 7 == 2, "").otherwise(F.col("text_b")).alias("text_b")
+    score = F.when(F.col("turn") % 3 == 1, F.col("gold") + 1).otherwise(F.col("gold")).alias("score")
+    label = F.when(F.col("turn") % 5 == 4, "other").otherwise(readers.label_of(F.col("gold"))).alias("label")
+    return evalmetrics.validate_pairs(rows.select(F.col("text").alias("text_a"), text_b, score, label, F.col("role").alias("source")))
 
 
 @query("WITH c AS (SELECT source, count(*)::DOUBLE AS n FROM documents GROUP BY source) SELECT source, round(n * (n - 1) / 2 * 1e-3, 6) AS remote_cost, round(0.4 + n * (n - 1) / 2 * 1e-6 + n * (n - 1) / 2 * (1 - 0.95::DOUBLE) * 1e-3, 6) AS mixed_cost FROM c")
@@ -690,6 +775,6 @@ def cost_model(spark, d):
     return out.select("source", F.round("remote_cost", 6).alias("remote_cost"), F.round("mixed_cost", 6).alias("mixed_cost"))
 
 
-@query("SELECT i::INTEGER AS channel, w::DOUBLE AS weight FROM (SELECT unnest(range(240)) AS i, unnest(" + str(list(STATIC_IDF)) + ") AS w)")
+@query(f"SELECT i::INTEGER AS channel, round(CASE WHEN i >= 180 THEN 1.5e0 ELSE 1e0 END / (1 + substr('{''.join(_HITS)}', i::INTEGER + 1, 1)::INTEGER), 4) AS weight FROM range(240) r(i)")
 def static_idf_table(spark, d):
     return spark.createDataFrame([(i, w) for i, w in enumerate(STATIC_IDF)], "channel int, weight double")
