@@ -82,9 +82,16 @@ def field_cosine(cfg: FieldConfig, idf: bool = False, a: str = "a.", b: str = "b
 
 
 def field_vectors(df: DataFrame, cfg: FieldConfig, key: str) -> DataFrame:
+    """The key, as ``id``, and the fields' vectors."""
     return df.select(F.col(key).alias("id"), *(f"{n}_{i}" for i in range(len(cfg.names)) for n in (*PLANES, *NORMS)))
 
 
+def solid(df: DataFrame, cfg: FieldConfig) -> DataFrame:
+    """Field vectors that can't be null, so that a join condition is compiled without null checks."""
+    zero = {**{p: F.lit(0).cast("bigint") for p in PLANES}, **{s: F.lit(0.0) for s in NORMS}}
+    return df.select("id", *(F.coalesce(f"{n}_{i}", z).alias(f"{n}_{i}") for i in range(len(cfg.names)) for n, z in zero.items()))
+
+
 def route_vector(df: DataFrame, cfg: FieldConfig, key: str) -> DataFrame:
     """The routing field's vector under the plain column names."""
     i = cfg.names.index(cfg.route)

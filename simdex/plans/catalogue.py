@@ -495,7 +495,7 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _field_pairs(spark: SparkSession, d: str, expr: str, t: float) -> DataFrame:
-    e = _pages(spark, d)
+    e = fields.solid(_pages(spark, d), _FIELDS)
     both = dealt(e).alias("a").join(joins.small(e).alias("b"), F.expr(f"a.id < b.id AND {expr} >= {t}e0"))
     return both.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), F.expr(f"round({expr}, 6)").alias("similarity"))
 
@@ -512,7 +512,7 @@ def field_pairs_idf(spark, d):
 
 @query(f"{FIELD_CTE}, s AS (SELECT a.id, b.id AS match_id, {_FC} AS x FROM enc a JOIN enc b ON a.id <> b.id) SELECT id, match_id, round(x, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY x DESC, match_id) = 1")
 def field_nearest(spark, d):
-    e = _pages(spark, d)
+    e = fields.solid(_pages(spark, d), _FIELDS)
     both = dealt(e).alias("a").join(joins.small(e).alias("b"), F.expr("a.id <> b.id"))
     found = joins.best(both.select(F.col("a.id").alias("id"), F.col("b.id").alias("ref_id"), F.expr(_FC).alias("similarity")))
     return found.withColumn("similarity", F.round("similarity", 6))
