@@ -143,11 +143,16 @@ def fingerprints(docs: DataFrame, cfg: IMatchConfig = IMatchConfig(), id_col: st
 
 
 def duplicate_groups(prints: DataFrame) -> DataFrame:
-    """``signature, docs``: ids that share a signature, two at least, each list once a signature."""
+    """``signature, doc_id, first_id, members``: a row for each document and each signature that it shares.
+
+    ``first_id`` is the smallest id with the signature, ``members`` how many ids
+    have it. Groups are counted, not collected, so one may be of any size. Null
+    ids are in no group; an id with several rows counts once.
+    """
     cols = [c for c in prints.columns if c.startswith("sig")]
-    rows = prints.select("doc_id", F.posexplode(F.array(*cols)).alias("k", "signature")).where("signature is not null and doc_id is not null")
-    groups = rows.groupBy("k", "signature").agg(F.sort_array(F.collect_set("doc_id")).alias("docs")).where(F.size("docs") > 1)
-    return groups.select("signature", "docs").distinct()
+    rows = prints.select("doc_id", F.posexplode(F.array(*cols)).alias("k", "signature")).where("signature is not null and doc_id is not null").distinct()
+    groups = rows.groupBy("k", "signature").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("members")).where("members > 1")
+    return rows.join(groups, ["k", "signature"]).select("signature", "doc_id", "first_id", "members").distinct()
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xDF)]))

@@ -227,8 +227,19 @@ def test_imatch_against_sql(spark):
     prints = imatch.fingerprints(make(spark, rows), cfg)
     got = {r[0]: tuple(r[1:]) for r in prints.collect()}
     assert got == want
-    groups = [set(r.docs) for r in imatch.duplicate_groups(prints).collect()]
-    assert any({0, 100, 101} <= g for g in groups)
+    groups = {}
+    for r in imatch.duplicate_groups(prints).collect():
+        groups.setdefault(r.signature, []).append((r.doc_id, r.first_id, r.members))
+    want = {}
+    for i, sigs in want_of_groups(got):
+        want.setdefault(sigs, set()).add(i)
+    assert {g: sorted(x) for g, x in groups.items()} == {g: sorted((i, min(x), len(x)) for i in x) for g, x in want.items() if len(x) > 1}
+    assert any({0, 100, 101} <= {i for i, _, _ in g} for g in groups.values())
+
+
+def want_of_groups(prints):
+    """``(id, signature)`` of each document's signatures."""
+    return [(i, s) for i, row in prints.items() for s in row[1:] if s is not None]
 
 
 def test_imatch_of_odd_rows(spark):
