@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import textcore as tc
 from .common import map_arrow
 
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
 #: Distinct words whose features are worked out at a time.
 _SLICE = 20_000
 
