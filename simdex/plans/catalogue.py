@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canon as C
-from ..functions import codec
+from ..functions import cells, codec
 from ..functions import similarity as S
 from ..functions import generate
 from ..functions.encode import PLANES, add_planes, encode_cte, trit_array, with_norms
@@ -686,6 +686,21 @@ def stage2_blends(spark, d):
     return four.select(F.col("a.id").alias("id"), *(F.expr(f"round({x}, 6)").alias(n) for n, x in _BLEND.items()))
 
 
+# cells
+
+
+@query("WITH p AS (SELECT p_partkey, p_partkey % 7 AS cell, p_partkey // 7 % 6 AS domain, p_partkey // 42 % 3 AS state, p_partkey % 12 AS tick FROM part), t AS (SELECT *, CASE domain WHEN 0 THEN tick % 3 WHEN 2 THEN tick % 2 WHEN 3 THEN 2 - tick % 3 WHEN 4 THEN tick % 2 ELSE 0 END AS trit FROM p) SELECT p_partkey, trit::INTEGER AS trit, state::INTEGER AS output, substr(CASE WHEN cell = 0 THEN '000' WHEN trit > 0 THEN '012' ELSE ['001', '010', '100', '012', '210', '120'][cell] END, state::INTEGER + 1, 1)::INTEGER AS state, CASE WHEN cell = 0 OR domain = 1 AND cell = 1 THEN 0 WHEN cell < 4 THEN 1 ELSE 2 END::INTEGER AS left_rank FROM t")
+def cell_steps(spark, d):
+    """One step of a cell of each kind, domain and state, and the rank that its signal leaves."""
+    k = F.col("p_partkey")
+    rows = _table(spark, d, "part").select(k, (k % 7).cast("int").alias("cell"), (F.floor(k / 7) % 6).cast("int").alias("domain"), (F.floor(k / 42) % 3).cast("int").alias("state"), (k % 12).cast("int").alias("tick"))
+    quark = lambda n: F.element_at(F.array(*(F.lit(q[n]) for q in cells.QUARKS)), F.col("cell") + 1)
+    rows = rows.withColumns({**{f"q{n}": quark(n) for n in range(3)}, **{f"o{n}": F.lit(cells.IDENTITY) for n in range(3)}, **{f"e{n}": F.lit(n) for n in range(3)}})
+    rows = rows.withColumn("trit", cells.tape(F.col("domain"), F.col("tick")))
+    left = cells.lowered_rank(F.lit(2), F.col("domain"), F.col("cell"))
+    return cells.step(rows, F.col("trit")).select("p_partkey", "trit", "output", "state", left.alias("left_rank"))
+
+
 # evaluation
 
 _EVAL = {"s1": S.lens_cosine("a.", "b.", "uniform"), "s2": S.flat_cosine("a.", "b."), "gold": S.chain_cosine("a.", "b.", 3)}
