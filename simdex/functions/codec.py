@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .encode import FNV_PRIME, FNV_START, PLANES, trits_of, widened
+from .encode import FNV_PRIME, FNV_START, NORMS, PLANES, planes_of, trits_of, widened, with_norms
 
 SLOTS = 12
 _CODES = bytes.fromhex(
@@ -136,6 +136,36 @@ def add_packed(df: DataFrame, name: str = "packed") -> DataFrame:
     return df.mapInArrow(run, widened(df, **{name: T.BinaryType()}))
 
 
+def add_unpacked(df: DataFrame, packed: str = "packed", suffix: str = "") -> DataFrame:
+    """``df`` with planes and norms of its 48-byte vectors; a null one is all zeros, another length or a byte above 242 an error."""
+    at, names = df.columns.index(packed), [f"{p}{suffix}" for p in PLANES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [x if x is not None else bytes(48) for x in batch.column(at).to_pylist()]
+            if any(len(x) != 48 for x in rows):
+                raise ValueError(f"{packed}: a packed vector has 48 bytes")
+            codes = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 48)
+            if codes.size and codes.max() > 242:
+                raise ValueError(f"{packed}: a byte is above 242")
+            planes = planes_of((codes[:, :, None].astype(int) // np.array([1, 3, 9, 27, 81]) % 3).astype(np.uint8).reshape(-1, 240))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(planes[:, i]) for i in range(8))], names=[*batch.schema.names, *names])
+
+    return with_norms(df.mapInArrow(run, widened(df, **{n: T.LongType() for n in names})), suffix)
+
+
+def compare_packed(df: DataFrame, a: str, b: str, lens: str | tuple[float, ...] = "dedup", name: str = "similarity") -> DataFrame:
+    """``df`` with the lens similarity of two packed columns."""
+    from .similarity import lens_cosine
+
+    both = add_unpacked(add_unpacked(df, a, "_x"), b, "_y")
+    expr = lens_cosine("a.", "b.", lens)
+    for side, suffix in (("a.", "_x"), ("b.", "_y")):
+        for n in (*PLANES, *NORMS):
+            expr = expr.replace(f"{side}{n}", f"{n}{suffix}")
+    return both.select(*df.columns, F.expr(expr).alias(name))
+
+
 def add_positional(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with ``positional`` (packed), ``decoded`` and ``was_cut`` of a text column."""
 

@@ -206,6 +206,15 @@ def centered_cosines(spark, d):
     return _step_select(spark, d, **_CENTER)
 
 
+@query(_step_sql(similarity=_RAW))
+def packed_compare(spark, d):
+    """Turn pairs compared by their packed vectors alone."""
+    p = store(codec.add_packed(_enc(spark, d)).select("id", "conv_id", "turn", "packed"), "packed")
+    nxt = p.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("packed").alias("next"))
+    found = codec.compare_packed(p.join(nxt, ["conv_id", "turn"]).select("id", "packed", "next"), "packed", "next")
+    return found.select("id", F.round("similarity", 6).alias("similarity"))
+
+
 # joins
 
 _PAIR_WHERE = f"a.id < b.id AND {S.lens_cosine('a.', 'b.')} >= {T_PAIR}e0"

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.codec import add_packed
+from ..functions.codec import add_packed, add_unpacked
 from ..functions.encode import add_planes, trit_array
 
 PAIR_SCHEMA = "id string, text_a string, text_b string, score double, label string, source string"
@@ -132,6 +132,19 @@ def load_index(spark: SparkSession, path: str, verify: bool = True) -> tuple[Dat
     return rows, meta["config"]
 
 
+def save_packed(df: DataFrame, path: str, key: str = "id") -> None:
+    """An index of packed vectors alone: ``key`` and 48 bytes a row."""
+    save_index(add_packed(df).select(F.col(key).alias("id"), "packed"), path, kind="packed")
+
+
+def load_packed(spark: SparkSession, path: str) -> DataFrame:
+    """``id`` and the planes and norms of :func:`save_packed`."""
+    rows, config = load_index(spark, path)
+    if config.get("kind") != "packed":
+        raise ValueError(f"{path}: no packed index")
+    return add_unpacked(rows).drop("packed")
+
+
 def build_index(df: DataFrame, key: str, text_col: str = "text", tag: str | None = None) -> DataFrame:
     src = df.select(F.col(key).alias("id"), (F.col(tag) if tag else F.lit(None).cast("string")).alias("tag"), F.col(text_col).alias("text"))
     return add_planes(src).drop("text")

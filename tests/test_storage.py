@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from simdex import api
-from simdex.functions import generate
+from simdex.functions import codec, generate
 from simdex.functions.encode import add_planes
 from simdex.operators import csidf, evalmetrics, fields, route, stage2
 from simdex.operators.storage import shared_dir
@@ -136,6 +136,23 @@ def test_output_formats(spark):
     assert [r.value for r in readers.as_summary(summary).collect()] == ["lines: 3", "rate: -"]
 
 
+def test_packed_index(spark, docs, tmp_path):
+    index = api.Index.build(docs, "id")
+    readers.save_packed(index.rows, str(tmp_path / "p"))
+    back = readers.load_packed(spark, str(tmp_path / "p"))
+    cols = [c for c in back.columns]
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, index.rows.select(*cols).collect()))
+    index.save(str(tmp_path / "i"))
+    with pytest.raises(ValueError):
+        readers.load_packed(spark, str(tmp_path / "i"))
+    two = spark.createDataFrame([(api.Embedding.of(TEXTS[0]).pack(), api.Embedding.of(TEXTS[3]).pack()), (None, api.Embedding.of("x").pack())], "a binary, b binary")
+    got = [r.similarity for r in codec.compare_packed(two, "a", "b").collect()]
+    assert got == pytest.approx([api.Embedding.of(TEXTS[0]).similarity(api.Embedding.of(TEXTS[3])), 0.0])
+    for bad in (b"x" * 47, b"\xff" * 48):
+        with pytest.raises(Exception, match="packed vector|above 242"):
+            codec.add_unpacked(spark.createDataFrame([(bad,)], "packed binary")).collect()
+
+
 def test_generators(spark):
     rows = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, ""), (3, None)], "id bigint, text string")
     made = generate.banded_pairs(rows, "id", "text").collect()
