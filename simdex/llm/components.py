@@ -42,20 +42,30 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Edges, 16 bytes each, that one task may hold.
+ONE_TASK = 1_000_000
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE_TASK) -> DataFrame:
     """Return ``(node, comp)``, ``comp`` being the smallest node reachable.
 
     Edges with a null end and self-loops are ignored; repeated edges count once;
     an empty table gives an empty result. Each partition first reduces its edges
-    to a spanning forest, so the rounds work on about one edge a node, and each
-    round is written to the shared folder.
+    to a spanning forest, so what follows works on about one edge a node. Counted
+    edges up to ``one_task`` are then joined by one task; more go through rounds of
+    star contractions, each written to the shared folder. The result is the same.
     """
     clean = edges.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v"))
     clean = clean.where("u is not null and v is not null and u <> v")
     cur = materialize(clean.mapInArrow(_contract, "u bigint, v bigint"), "edges")
     by_u = Window.partitionBy("u")
     seen = None
-    while True:
+    few = cur.count() <= one_task
+    if few:
+        whole = materialize(cur.coalesce(1).mapInArrow(_contract, "u bigint, v bigint"), "edges")
+        discard(cur)
+        cur = whole
+    while not few:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.withColumn("m", F.least("u", F.min("v").over(by_u))).where("v > u")
         large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")

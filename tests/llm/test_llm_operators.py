@@ -123,10 +123,12 @@ def test_jaccard_join_of_odd_rows(spark):
     assert jaccard.ngram_jaccard_join(none(spark)).collect() == []
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_against_union_find(spark, one_task):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (20, 21), (20, 21), (30, 30), (None, 3), (3, 50), (50, 41)]
-    got = {r.node: r.comp for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)).collect()}
+    got = {r.node: r.comp for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(3), one_task=one_task).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 50: 1, 41: 1, 5: 5, 6: 5, 7: 5, 8: 5, 9: 5, 20: 20, 21: 20}
+    assert connected_components(spark.createDataFrame([], "a bigint, b bigint"), one_task=one_task).collect() == []
 
 
 @pytest.mark.parametrize("block", [200_000, 7])
