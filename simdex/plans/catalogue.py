@@ -420,13 +420,11 @@ def route_report(spark, d):
     return out.select(*(F.round(c, 6).alias(c) if c in rounded else c for c in out.columns))
 
 
-@query(f"{DOCREF} SELECT a.id AS doc_id, round({S.flat_cosine('a.', 'b.')}, 6) AS similarity FROM enc a, ref b WHERE b.id = (SELECT min(id) FROM ref)")
+@query(f"{DOCREF} SELECT b.id AS item_id, a.id AS doc_id, round({S.flat_cosine('a.', 'b.')}, 6) AS similarity FROM enc a, ref b")
 def similarity_vector(spark, d):
-    """The flat similarity of one benchmark item and every document."""
-    items = _items(spark, d)
-    one = items.join(F.broadcast(items.agg(F.min("id").alias("id"))), "id")
-    found = joins.scored(_docs(spark, d), "id", one, "id", S.flat_cosine("a.", "b."))
-    return found.select(F.col("id").alias("doc_id"), F.round("similarity", 6).alias("similarity"))
+    """The flat similarity of every benchmark item and every document."""
+    found = joins.scored(_docs(spark, d), "id", _items(spark, d), "id", S.flat_cosine("a.", "b."))
+    return found.select(F.col("ref_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("similarity", 6).alias("similarity"))
 
 
 # corpus weights
