@@ -466,8 +466,8 @@ def _word_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicConfig(), id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic") -> Learned:
     """Terms, ordinary words and the evidence needed, from ``cfg.sample`` labelled documents of each class, those with the smallest id hashes.
 
-    Null ids and labels don't count; of several labels of an id the largest does,
-    of several texts all; of equal texts of a class one is read. The evidence model
+    Null ids and labels don't count; of several labels of an id the largest does, of
+    several texts the one with the smallest hash; of equal texts of a class one is read. The evidence model
     is fitted to terms learned without a document's own fold. Without labelled
     documents of both classes nothing is learned.
     """
@@ -477,8 +477,8 @@ def learn(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicConfig(),
     some = [marked.where(F.col("toxic") == t).orderBy(key, "doc_id").limit(cfg.sample) for t in (0, 1)]
     some = F.broadcast(some[0].unionByName(some[1]).withColumnRenamed("doc_id", "labelled"))
     text = docs.select(F.col(id_col).cast("bigint").alias("labelled"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    rows = text.join(some, "labelled").select("toxic", F.pmod(F.xxhash64("text"), F.lit(cfg.folds)).cast("int").alias("fold"), "text")
-    rows = materialize(rows.dropDuplicates(), "labelled")
+    one = text.join(some, "labelled").groupBy("labelled", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m"))
+    rows = materialize(one.select("toxic", F.pmod(F.col("m.h"), F.lit(cfg.folds)).cast("int").alias("fold"), F.col("m.text").alias("text")).dropDuplicates(), "labelled")
     size = {(r.toxic, r.fold): r.n for r in rows.groupBy("toxic", "fold").agg(F.count("*").alias("n")).collect()}
     sizes = np.array([[size.get((t, f), 0) for f in range(cfg.folds)] for t in (1, 0)], float)
     if not sizes.sum(axis=1).all():

@@ -192,6 +192,8 @@ def test_terms_are_learned_from_labels_and_hold_on_other_documents(spark):
     assert np.mean(caught) > 0.95 and np.mean(wrong) < 0.03
     assert {t for r in got.values() for t in r.terms} <= {"grovaxi", "plontér", "skrimul", "vrekato", "drunfle", "klaspor"}
     assert {r.doc_id: r for r in toxicity.find_toxic(docs, labels.repartition(5)).collect()} == got
+    flood = docs.unionByName(docs.where("doc_id = 3").crossJoin(spark.range(400).select(F.col("id").alias("n"))).select("doc_id", F.concat("text", F.lit(" grovaxi "), F.col("n").cast("string")).alias("text")))
+    assert len(toxicity.learn(flood, labels).terms) >= 5  # texts of one id are one document
 
 
 def test_quoted_learned_terms_prove_less(spark):
