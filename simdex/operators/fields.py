@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions.encode import NORMS, PLANES, add_planes
 from ..functions.lens import STATIC_IDF
-from . import route
+from . import route, tiles
 from .joins import best
 
 
@@ -81,6 +81,11 @@ def field_cosine(cfg: FieldConfig, idf: bool = False, a: str = "a.", b: str = "b
     return f"(({' + '.join(parts)}) / {sum(w for w in cfg.weights if w > 0)!r}e0)" if parts else "0.0e0"
 
 
+def measure(cfg: FieldConfig, idf: bool = False) -> tiles.Measure:
+    """What :func:`field_cosine` computes, for comparison in tiles."""
+    return tiles.Measure("idf" if idf else "uniform", fields=cfg.weights)
+
+
 def field_vectors(df: DataFrame, cfg: FieldConfig, key: str) -> DataFrame:
     """The key, as ``id``, and the fields' vectors."""
     return df.select(F.col(key).alias("id"), *(f"{n}_{i}" for i in range(len(cfg.names)) for n in (*PLANES, *NORMS)))
