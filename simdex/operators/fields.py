@@ -83,7 +83,7 @@ def field_cosine(cfg: FieldConfig, idf: bool = False, a: str = "a.", b: str = "b
 
 def measure(cfg: FieldConfig, idf: bool = False) -> tiles.Measure:
     """What :func:`field_cosine` computes, for comparison in tiles."""
-    return tiles.Measure("idf" if idf else "uniform", fields=cfg.weights)
+    return tiles.Measure("idf" if idf else "uniform", fields=cfg.weights, suffixed=True)
 
 
 def field_vectors(df: DataFrame, cfg: FieldConfig, key: str) -> DataFrame:
@@ -110,10 +110,10 @@ def nearest_routed(df: DataFrame, key: str, index: DataFrame, index_key: str, cf
     """
     a, b = field_vectors(df, cfg, key), field_vectors(index, cfg, index_key)
     if index.count() < route.BRUTE_FORCE_BELOW:
-        found = a.select("id").crossJoin(b.select(F.col("id").alias("ref_id")))
+        both = a.alias("a").crossJoin(b.alias("b"))
     else:
-        found = route.candidates(route_vector(df, cfg, key), "id", route_vector(index, cfg, index_key), "id", mode)
-    both = found.alias("c").join(a.alias("a"), F.expr("a.id = c.id")).join(b.alias("b"), F.expr("b.id = c.ref_id"))
-    top = best(both.select(F.col("c.id").alias("id"), F.col("c.ref_id").alias("ref_id"), F.expr(field_cosine(cfg, idf)).alias("similarity")))
+        by = measure(cfg, idf)
+        both = route.routed(a, "id", b, "id", mode, columns=tuple(by.columns), at=cfg.names.index(cfg.route)).likely_best(by)
+    top = best(both.select(F.col("a.id").alias("id"), F.col("b.id").alias("ref_id"), F.expr(field_cosine(cfg, idf)).alias("similarity")))
     sim = F.coalesce("similarity", F.lit(0.0))
     return a.select("id").join(top, "id", "left").select("id", (sim >= threshold).alias("is_duplicate"), "match_id", sim.alias("similarity"))

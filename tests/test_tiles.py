@@ -1,10 +1,11 @@
 """Comparisons in tiles against the expressions over every pair, with blocks of a few rows."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from simdex.functions.encode import PLANES, add_planes
-from simdex.operators import dedup, evalmetrics, fields, joins, route, tiles
+from simdex.operators import csidf, dedup, evalmetrics, fields, joins, route, tiles
 
 BASE = ["connection timeout on server alpha", "user cannot log in to portal", "disk is nearly full on node seven", "payment was declined by the bank"]
 TEXTS = [t for k, b in enumerate(BASE) for t in (b, b + " again", b, b.replace("e", "a"), f"case {k} " + b, b.upper())] + ["", "a", "", "zzz", "a", "aa"]
@@ -87,3 +88,25 @@ def test_fields_in_tiles(spark, monkeypatch, idf):
     pick = lambda df: {(r.i, r.j): r.s for r in df.select(F.least("a.id", "b.id").alias("i"), F.greatest("a.id", "b.id").alias("j"), F.expr(expr).alias("s")).where("s >= 0.4").collect()}
     want = pick(e.alias("a").join(e.alias("b"), F.expr("a.id < b.id")))
     assert want and pick(tiles.likely_pairs(e, fields.measure(cfg, idf), 0.4)) == want
+
+
+@pytest.mark.parametrize("not_self", [False, True])
+def test_routing_compares_where_buckets_are(spark, monkeypatch, not_self):
+    """Against the candidates as a table, with a cap that cuts, a hot bucket and a repeated row."""
+    monkeypatch.setitem(route.MODES, "fast", ((0,), 7))
+    rows = [(i, "one hot line that all share" if i % 3 else f"line number {i % 11}") for i in range(90)]
+    e = add_planes(spark.createDataFrame(rows, "id bigint, text string")).drop("text").cache()
+    pairs = route.candidates(e, "id", e, "id", "fast", not_self).cache()
+    want = {tuple(r) for r in joins.best(route.rescored(pairs, e, "id", e, "id", joins.score())).collect()}
+    asked = e.unionByName(e.where("id < 5"))
+    monkeypatch.setattr(route, "candidates", None)
+    monkeypatch.setattr(route, "rescored", None)
+    assert {tuple(r) for r in route.nearest_routed(asked, "id", e, "id", "dedup", "fast", not_self=not_self).collect()} == want
+    if not not_self:
+        monkeypatch.setattr(route, "BRUTE_FORCE_BELOW", 0)
+        counts = {r["id"]: r["count"] for r in pairs.groupBy("id").count().collect()}
+        assert {r.id: r.candidates_checked for r in route.query_stats(e, "id", e, "id", "fast").collect()} == counts
+        weights = [0.01 + i / 240 for i in range(240)]
+        flat = e.select(F.col("id"), *PLANES).join(pairs, "id").join(e.select(F.col("id").alias("ref_id"), *(F.col(p).alias(f"{p}_b") for p in PLANES)), "ref_id")
+        best = {r.id: r.similarity for r in joins.best(csidf.score_pairs(flat, np.array(weights), "dedup")).collect()}
+        assert {r.id: r.similarity for r in route.query_weighted(e, "id", e, "id", np.array(weights), 0.9, "dedup", "fast").collect()} == pytest.approx(best)
