@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,16 +17,23 @@ def _draw(text: Column, seed: int, salt: str, below: Column) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), F.greatest(below, F.lit(1))).cast("int")
 
 
+def _bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is worked out once, however often and deep within it is named."""
+    return F.get(F.transform(F.array(value), lambda bound: fn(bound)), F.lit(0))
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
 def swap_words(text: Column, seed: int = 0) -> Column:
     """Two neighbouring words change places; shorter texts stay."""
-    w = _words(text)
-    i = _draw(text, seed, "swap", F.size(w) - 1)
-    order = F.transform(w, lambda x, k: F.when(k == i, F.get(w, i + 1)).when(k == i + 1, F.get(w, i)).otherwise(x))
-    return F.when(F.size(w) < 2, text).otherwise(F.array_join(order, " "))
+
+    def swapped(w: Column, i: Column) -> Column:
+        order = F.transform(w, lambda x, k: F.when(k == i, F.get(w, i + 1)).when(k == i + 1, F.get(w, i)).otherwise(x))
+        return F.when(F.size(w) < 2, text).otherwise(F.array_join(order, " "))
+
+    return _bind(_words(text), lambda w: _bind(_draw(text, seed, "swap", F.size(w) - 1), lambda i: swapped(w, i)))
 
 
 def replace_synonyms(text: Column) -> Column:
@@ -33,23 +42,22 @@ def replace_synonyms(text: Column) -> Column:
 
 
 def insert_word(text: Column, seed: int = 0) -> Column:
-    w = _words(text)
-    i = _draw(text, seed, "at", F.size(w) + 1)
     filler = F.element_at(F.array(*map(F.lit, FILLERS)), _draw(text, seed, "word", F.lit(len(FILLERS))) + 1)
-    return F.array_join(F.array_insert(w, i + 1, filler), " ")
+    return _bind(_words(text), lambda w: _bind(_draw(text, seed, "at", F.size(w) + 1), lambda i: F.array_join(F.array_insert(w, i + 1, filler), " ")))
 
 
 def remove_word(text: Column, seed: int = 0) -> Column:
     """One word goes; a text of one word or none stays."""
-    w = _words(text)
-    i = _draw(text, seed, "drop", F.size(w))
-    return F.when(F.size(w) < 2, text).otherwise(F.array_join(F.filter(w, lambda x, k: k != i), " "))
+    removed = lambda w, i: F.when(F.size(w) < 2, text).otherwise(F.array_join(F.filter(w, lambda x, k: k != i), " "))
+    return _bind(_words(text), lambda w: _bind(_draw(text, seed, "drop", F.size(w)), lambda i: removed(w, i)))
 
 
 def mutate(text: Column, seed: int = 0) -> Column:
     """One of the four mutations, chosen by the text and the seed."""
-    kind = _draw(text, seed, "kind", F.lit(4))
-    return F.when(kind == 0, swap_words(text, seed)).when(kind == 1, replace_synonyms(text)).when(kind == 2, insert_word(text, seed)).otherwise(remove_word(text, seed))
+    return _bind(
+        _draw(text, seed, "kind", F.lit(4)),
+        lambda kind: F.when(kind == 0, swap_words(text, seed)).when(kind == 1, replace_synonyms(text)).when(kind == 2, insert_word(text, seed)).otherwise(remove_word(text, seed)),
+    )
 
 
 def draw_sql(text: str, seed: int, salt: str, below: str) -> str:
